@@ -58,7 +58,7 @@ class Packer:
         self.context, self.sizes = context, [context >> i for i in range(tiers)]
         self.wait: list[deque] = [deque() for _ in self.sizes]  # (doc, ids, start)
         self.held = [0] * len(self.sizes)  # ids that wait in each tier
-        self.next_id, self.dealt = 0, task << 33, [0] * (context.bit_length())
+        self.next_id, self.dealt = task << 33, [0] * (context.bit_length())
         self.rows: list[tuple] = []
 
     @property

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pixelgrove.llm.common import documents
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +34,18 @@ FROM documents
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelgrove.llm.packing import pack
 
-    return pack(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pixelgrove.llm.byte_bpe import decode, encode, read_ranks
+
+    ranks = read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    out = decode(encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op10_exact_dedup": OP10_SQL}

@@ -47,5 +47,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelgrove.llm.fingerprints import edited_and_next
+
+    return edited_and_next(documents(spark, sf_dir))
+
+
+QUERIES = {"op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op10_exact_dedup": OP10_SQL}

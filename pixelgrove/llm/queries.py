@@ -53,5 +53,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_and_next(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelgrove.llm.secrets import labelled_samples, scan, train
+
+    out = scan(documents(spark, sf_dir), train(labelled_samples(spark)))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_markov")
+
+
+QUERIES = {"op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op10_exact_dedup": OP10_SQL}

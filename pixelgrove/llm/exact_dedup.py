@@ -85,7 +85,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.join(by_digest.select("digest", F.col(keep).alias("keep_id"), "n", "texts"), "digest", "left")
     plain = out.where("texts IS NULL OR texts = 1").select("id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
     clashed = by_digest.where("texts > 1").select(F.col("digest").alias("clash"))
-    rest = src.withColumn("digest", digest(F.col("text"))).join(clashed, F.col("digest") == F.col("clash"), "left_semi")
+    held = key_filter(clashed, "clash", filter_bits)
+    rest = may_contain(src.withColumn("digest", digest(F.col("text"))), F.col("digest"), held, filter_bits).join(clashed, F.col("digest") == F.col("clash"), "left_semi")
     picked = classes.select(F.col("digest").alias("d2"), F.col("text").alias("t2"), F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
     rest = rest.join(picked, (F.col("digest") == F.col("d2")) & (F.col("text") == F.col("t2"))).select("id", "digest", "keep_id", "group_size")
     return plain.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Limits of a block: distinct words, and pre-tokens.
-BLOCK_WORDS, BLOCK_TOKENS = 400_000, 6_000_000
+BLOCK_WORDS, BLOCK_TOKENS = 200_000, 3_000_000
 #: Word rows a block is split into.
 SHARDS = 512
 BLOCK_SCHEMA = "route long, home long, docs array<long>, counts array<long>, numbers binary, words binary"

@@ -70,5 +70,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelgrove.llm.quality import SAMPLE_ROWS, score, train
+    from pixelgrove.llm.training import held_out, labelled_rows
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(labelled_rows(docs, labels, "quality", ~held_out(F.col("doc_id"), 5, 0), SAMPLE_ROWS))
+    out = score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op5_quality": op5_quality, "op2_toxicity": op2_toxicity, "op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op10_exact_dedup": OP10_SQL}

@@ -80,5 +80,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op5_quality": op5_quality, "op2_toxicity": op2_toxicity, "op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelgrove.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op5_quality": op5_quality, "op2_toxicity": op2_toxicity, "op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op10_exact_dedup": OP10_SQL}

@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pixelgrove.llm.common import key_filter, may_contain, scratch_path
+from pixelgrove.llm.common import key_filter, may_contain, scratch_path, stage
 
 
 def sha256_digest(text: Column) -> Column:
@@ -78,15 +78,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hits = index.compacted().where("n > 1")
     near = may_contain(src.withColumn("digest", digest(F.col("text"))), F.col("digest"), key_filter(hits, "digest", filter_bits), filter_bits)
-    classes = near.groupBy("digest", "text").agg(F.min("id").alias("smallest"), F.max("id").alias("largest"), F.count(F.lit(1)).alias("n"))
+    classes = stage(near.groupBy("digest", "text").agg(F.min("id").alias("smallest"), F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")), "verified-classes")
     # A digest with two texts is a collision: its rows find their class by text as well.
     by_digest = classes.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1")
-    rows = index.rows()
-    out = rows.join(by_digest.select("digest", F.col(keep).alias("keep_id"), "n", "texts"), "digest", "left")
+    out = index.rows().join(by_digest.select("digest", F.col(keep).alias("keep_id"), "n", "texts"), "digest", "left")
     plain = out.where("texts IS NULL OR texts = 1").select("id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
     clashed = by_digest.where("texts > 1").select(F.col("digest").alias("clash"))
-    held = key_filter(clashed, "clash", filter_bits)
-    rest = may_contain(src.withColumn("digest", digest(F.col("text"))), F.col("digest"), held, filter_bits).join(clashed, F.col("digest") == F.col("clash"), "left_semi")
-    picked = classes.select(F.col("digest").alias("d2"), F.col("text").alias("t2"), F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
-    rest = rest.join(picked, (F.col("digest") == F.col("d2")) & (F.col("text") == F.col("t2"))).select("id", "digest", "keep_id", "group_size")
-    return plain.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+    if not clashed.isEmpty():
+        rest = src.withColumn("digest", digest(F.col("text"))).join(clashed, F.col("digest") == F.col("clash"), "left_semi")
+        picked = classes.select(F.col("digest").alias("d2"), F.col("text").alias("t2"), F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
+        plain = plain.unionByName(rest.join(picked, (F.col("digest") == F.col("d2")) & (F.col("text") == F.col("t2"))).select("id", "digest", "keep_id", "group_size"))
+    return plain.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))

@@ -86,5 +86,22 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op5_quality": op5_quality, "op2_toxicity": op2_toxicity, "op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelgrove.llm.html_text import extract
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its licenses, and each finding as license:start:end:differing words."""
+    from pixelgrove.llm.licenses import scan
+
+    found = F.col("findings")
+    listed = F.transform(found, lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), x["differences"].cast("string")))
+    names = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["license"])))
+    return scan(documents(spark, sf_dir)).select("doc_id", F.size(found).cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.array_join(listed, ",").alias("findings"))
+
+
+QUERIES = {"op4_html_extraction": op4_html_extraction, "op8_license_scans": op8_license_scans, "op1_near_dedup": op1_near_dedup, "op5_quality": op5_quality, "op2_toxicity": op2_toxicity, "op9_secret_scans": op9_secret_scans, "op6_fingerprints": op6_fingerprints, "op3_byte_bpe": op3_byte_bpe, "op10_exact_dedup": op10_exact_dedup, "op7_packing": op7_packing}
 SQL = {"op10_exact_dedup": OP10_SQL}

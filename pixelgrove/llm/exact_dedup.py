@@ -89,3 +89,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         picked = classes.select(F.col("digest").alias("d2"), F.col("text").alias("t2"), F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
         plain = plain.unionByName(rest.join(picked, (F.col("digest") == F.col("d2")) & (F.col("text") == F.col("t2"))).select("id", "digest", "keep_id", "group_size"))
     return plain.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class of equal texts, with all their columns.
+
+    Of rows that repeat id and text any one stays; of a class without ids, too.
+    """
+    kept = exact_dedup(docs, id_col, text_col, keep, **settings).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__of")).distinct()
+    digest = settings.get("digest", sha256_digest)
+    rows = docs.withColumn("__digest", digest(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(kept, (F.col("__digest") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    same = F.coalesce(F.col(text_col), F.lit("")) if digest is not sha256_digest else F.col("__digest")
+    return rows.withColumn("__same", same).dropDuplicates([id_col, "__same"]).select(*docs.columns)

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pixelgrove.llm.common import key_filter, may_contain, stage
 from pixelgrove.llm.words import WordHashes
@@ -80,6 +80,11 @@ def signature(found: np.ndarray) -> bytes:
     return ((best * _MIX[1]) >> np.uint64(48)).astype(">u2").tobytes()
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -93,9 +98,10 @@ def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
                 if d is not None and d not in last:
                     last[d] = signature(found)
                 signatures.append(last.get(d))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, signature binary")
 
 
 def forest(classes: DataFrame, region_rows: int) -> DataFrame:
@@ -209,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_rows: int = REGION_ROWS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links of at least ``percent``), kept."""
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links of at least ``percent``), kept, text_key."""
     sketched = stage(sketch(docs, shingle, id_col, text_col), "sketches")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
@@ -234,6 +240,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "root").select("node", "component_id")
     by_node = names.join(of_class, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", node.alias("node")).join(by_node, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketched.select("doc_id", "text_key", "n_shingles", node.alias("node")).join(by_node, "node", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay, those with the smallest id of each component, with all their columns."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__of")), "left_semi")

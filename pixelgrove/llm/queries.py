@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pixelgrove.llm.common import documents
 
 
+#: Score from which a document counts as good.
+QUALITY_THRESHOLD = 0.3
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file."""
     import public_tokenizers
@@ -77,13 +81,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(labelled_rows(docs, labels, "quality", ~held_out(F.col("doc_id"), 5, 0), SAMPLE_ROWS))
     out = score(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelgrove.llm.near_dedup import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+    return near_duplicates(documents(spark, sf_dir), shingle=3, percent=85).drop("text_key")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

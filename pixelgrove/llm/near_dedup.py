@@ -6,7 +6,7 @@
 2. Forest. Each tree sorts the classes by their signature. Neighbours in that
    order whose longest common prefix has at least DEPTH values are candidates;
    so each run of classes with a common prefix is a region. In a region of up
-   to WINDOW + 1 classes all meet. In a larger one each class meets the WINDOW
+   to WINDOW + 1 classes all meet. In a larger one each class meets the NEAR
    before it in the order, that is, those of the deepest common prefixes. A
    region of more than ``region_rows`` classes is cut at twice the depth and,
    where that does not part it, into salted chunks, whose classes also meet the
@@ -17,7 +17,9 @@
    candidate of smaller number, which joins groups by a tree of links; then all
    further pairs whose ends are still in different components. A pair inside a
    component can't change the result.
-5. Components by alternating large and small stars.
+5. Closing. In regions that a component crowds, the classes outside it meet
+   all others of the region, so that NEAR costs no link.
+6. Components by alternating large and small stars.
 
 For similarity J, a tree finds a pair with a probability of J**DEPTH; with 20
 trees and depth 4, two find it with 1 - 9e-6 at J = 0.85, 1 - 4e-4 at J = 0.8.
@@ -34,7 +36,7 @@ An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict, deque
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pixelgrove.llm.common import key_filter, may_contain, stage
 from pixelgrove.llm.words import WordHashes
 
-TREES, DEPTH, WINDOW, REGION_ROWS = 20, 4, 24, 5000
+TREES, DEPTH, WINDOW, NEAR, REGION_ROWS = 20, 4, 24, 4, 5000
+#: Trees whose crowded regions are closed, and classes of a region that meet in one task.
+CLOSING_TREES, CHUNK = 12, 2000
 FILTER_BITS = 1 << 25
 _RANDOM = np.random.default_rng(20240229)
 #: Odd multipliers of the MinHash values, two levels of DEPTH a tree.
@@ -118,27 +122,51 @@ def forest(classes: DataFrame, region_rows: int) -> DataFrame:
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (a < b, strong) from rows sorted by (tree, k1, cut, k2, node)."""
-    region, near, seen = None, deque(maxlen=WINDOW), 0
+    a, b, strong = [], [], []
+
+    def meet(x: tuple, y: tuple, large: bool) -> None:
+        a.append(min(x[0], y[0]))
+        b.append(max(x[0], y[0]))
+        strong.append(large and sum(x[1][i : i + 2] == y[1][i : i + 2] for i in range(0, len(x[1]), 2)) >= DEPTH - 1)
+
+    region, held, large = None, [], False  # held: the whole region while it is small, then its last NEAR rows
     for batch in batches:
-        a, b, strong = [], [], []
         cols = [batch.column(c).to_pylist() for c in ("tree", "k1", "k2", "cut", "pivot", "node")]
         for tree, k1, k2, cut, pivot, node in zip(*cols, strict=True):
+            row = (node, k2)
             if (tree, k1, cut) != region:
-                region, seen = (tree, k1, cut), 0
-                near.clear()
-            big = seen > WINDOW or pivot is not None
-            for other, k in near:
-                a.append(min(other, node))
-                b.append(max(other, node))
-                strong.append(big and sum(k2[i : i + 2] == k[i : i + 2] for i in range(0, len(k), 2)) >= DEPTH - 1)
+                for i in range(len(held) if not large else 0):
+                    for other in held[:i]:
+                        meet(other, held[i], False)
+                region, held, large = (tree, k1, cut), [], pivot is not None
             if pivot is not None and pivot != node:
                 a.append(min(pivot, node))
                 b.append(max(pivot, node))
                 strong.append(True)
-            near.append((node, k2))
-            seen += 1
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(strong, pa.bool_())], ["a", "b", "strong"])
+            if not large and len(held) > WINDOW:
+                large = True
+                for i in range(len(held)):
+                    for other in held[max(0, i - NEAR) : i]:
+                        meet(other, held[i], True)
+                held = held[-NEAR:]
+            if large:
+                for other in held:
+                    meet(other, row, True)
+                held = [*held[1 - NEAR :], row] if len(held) >= NEAR else [*held, row]
+            else:
+                held.append(row)
+        if len(a) > 50_000:
+            yield _pairs(a, b, strong)
+            a.clear(), b.clear(), strong.clear()
+    for i in range(len(held) if not large else 0):
+        for other in held[:i]:
+            meet(other, held[i], False)
+    if a:
+        yield _pairs(a, b, strong)
+
+
+def _pairs(a: list, b: list, strong: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(strong, pa.bool_())], ["a", "b", "strong"])
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -155,12 +183,7 @@ def verify(pairs: DataFrame, texts: DataFrame, names: DataFrame, size: int, perc
     names: (node, rep) for the id whose text stands for a class. texts: (doc_id, text) of all rows; a text of another
     class that shares the id is told apart by its digest.
     """
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node").select("node", "rep")
-    used = stage(used, "verify-nodes")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = may_contain(texts, F.col("doc_id"), key_filter(used, "rep", FILTER_BITS), FILTER_BITS)
-    near = near.repartition(parts, "doc_id").dropDuplicates(["doc_id", "text"])
-    held = near.join(used, F.col("doc_id") == F.col("rep")).select("node", "text")
+    held = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, names)
     left = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -191,6 +214,60 @@ def verify(pairs: DataFrame, texts: DataFrame, names: DataFrame, size: int, perc
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def close_crowds(rows: DataFrame, links: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int) -> DataFrame:
+    """Further links (a, b) in the regions that one component crowds.
+
+    There the NEAR places before a class may all belong to that component, so
+    classes outside it can miss their partners. Each of them meets all classes
+    of the region, by chunks of both sides and an inverted index over shingles;
+    of each other component it keeps one link.
+    """
+    held = rows.where(F.col("tree") < CLOSING_TREES).select("tree", "k1", "node").join(links, "node", "left").select("tree", "k1", "node", F.coalesce("root", "node").alias("root"))
+    counts = held.groupBy("tree", "k1", "root").agg(F.count(F.lit(1)).alias("n"))
+    crowds = counts.groupBy("tree", "k1").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total")).where((F.col("m.n") > WINDOW) & (F.col("total") > F.col("m.n")))
+    crowds = stage(crowds.select("tree", "k1", F.col("m.root").alias("main"), F.ceil(F.col("total") / CHUNK).alias("chunks"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).alias("turns")), "crowds")
+    inside = stage(held.join(crowds, ["tree", "k1"]), "crowded")
+    if inside.isEmpty():
+        return links.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n))
+    keys = ["tree", "k1", "chunk", "turn"]
+    members = inside.select("tree", "k1", part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "node", "root", F.lit(False).alias("asks"))
+    asking = inside.where("root <> main").select("tree", "k1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), part("turns").alias("turn"), "node", "root", F.lit(True).alias("asks"))
+    with_text = members.unionByName(asking).join(texts_of(inside.select("node").distinct(), texts, names), "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        known, nodes, roots, sets, asks = WordHashes(), [], [], [], []
+        for node, root, ask, text in zip(group.column("node").to_pylist(), group.column("root").to_pylist(), group.column("asks").to_pylist(), group.column("text"), strict=True):
+            found = shingles(text.as_py(), size, known)
+            if len(found) and node_of(digest(found)) == node:
+                nodes.append(node), roots.append(root), sets.append(found), asks.append(ask)
+        here = [i for i, ask in enumerate(asks) if not ask]
+        a, b = [], []
+        if here:
+            flat, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), [len(sets[i]) for i in here])
+            order = np.argsort(flat, kind="stable")
+            flat, owner, length = flat[order], owner[order], np.array([len(sets[i]) for i in here])
+            for i in (i for i, ask in enumerate(asks) if ask):
+                low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                common = np.bincount(np.concatenate([owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]), minlength=len(here))
+                linked = np.flatnonzero(100 * common >= percent * (len(sets[i]) + length - common))
+                for j in {roots[here[j]]: here[j] for j in linked.tolist() if roots[here[j]] != roots[i]}.values():
+                    a.append(min(nodes[i], nodes[j]))
+                    b.append(max(nodes[i], nodes[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return with_text.select(*keys, "node", "root", "asks", "text").groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
+
+
+def texts_of(nodes: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, text) of the rows with the ids that stand for these classes; texts of other classes may be among them."""
+    used = stage(nodes.join(names, "node").select("node", "rep"), "used-nodes")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = may_contain(texts, F.col("doc_id"), key_filter(used, "rep", FILTER_BITS), FILTER_BITS)
+    near = near.repartition(parts, "doc_id").dropDuplicates(["doc_id", "text"])
+    return near.join(used, F.col("doc_id") == F.col("rep")).select("node", "text")
+
+
 def node_of(value: bytes) -> int:
     return int.from_bytes(value[:8], "big", signed=True)
 
@@ -235,7 +312,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         .select("a", "b")
     )
     more = verify(stage(open_pairs, "open-pairs"), texts, names, shingle, percent)
-    links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    as_edges = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = stage(components(as_edges(links).unionByName(more)), "links")
+    more = close_crowds(forest(classes, region_rows), links, texts, names, shingle, percent)
+    links = components(as_edges(links).unionByName(more))
     named = links.join(names, "node")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "root").select("node", "component_id")

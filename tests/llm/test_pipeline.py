@@ -1,0 +1,84 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pixelgrove.llm.common import stage
+from pixelgrove.llm.packing import SCHEMA as PIECES
+from pixelgrove.llm.quality import score, train
+from pixelgrove.llm.queries import QUERIES, SQL
+from pixelgrove.llm.training import held_out, labelled_rows
+
+SF = "/root/testdata/sf0.001"
+CONTRACT = {
+    1: ["doc_id", "n_shingles", "component_id", "kept"],
+    2: ["doc_id", "held_out", "score", "predicted"],
+    3: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    4: ["page_id", "url", "text", "n_chars"],
+    5: ["doc_id", "held_out", "score", "predicted"],
+    6: ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    7: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    8: ["doc_id", "licenses", "findings"],
+    9: ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    10: ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+}
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+
+
+def test_each_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_return_their_columns_for_every_row(spark, name):
+    n = int(name[2:].split("_")[0])
+    out = QUERIES[name](spark, SF)
+    assert set(CONTRACT[n]) <= set(out.columns)
+    table, key = ("pages", "page_id") if n == 4 else ("documents", "doc_id")
+    want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    assert {r[0] for r in out.select(key).collect()} == want
+
+
+def test_stages_do_their_work_on_what_is_left(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = stage(function(spark, docs, SF), name)
+        assert docs.columns == columns
+        seen[name] = {r.doc_id: r.text for r in docs.collect()}
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    model = train(labelled_rows(first, spark.read.parquet(f"{SF}/labels.parquet"), "quality", ~held_out(F.col("doc_id"), 5, 0), 10_000))
+    assert set(seen["quality"]) == {r.doc_id for r in score(first, model, out_col="s").where("s >= 0.3").collect()}
+    last = {}
+    for doc, text in seen["quality"].items():
+        last[text or ""] = max(doc, last.get(text or "", doc))
+    assert set(seen["exact_dedup"]) == set(last.values())
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets, parent = {d: shingles(t) for d, t in seen["exact_dedup"].items()}, {d: d for d in seen["exact_dedup"]}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    assert set(seen["near_dedup"]) == {i for i in parent if find(i) == i}
+    assert set(seen["secrets"]) == set(seen["near_dedup"])
+    changed = [d for d, t in seen["secrets"].items() if t != seen["near_dedup"][d]]
+    assert all("[SECRET]" in seen["secrets"][d] for d in changed)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.columns == [c.split()[0] for c in PIECES.split(", ")]
+    assert {r.doc_id for r in pieces.select("doc_id").collect()} == set(seen["secrets"])
+
+
+def test_run_is_the_stages_one_after_another(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None

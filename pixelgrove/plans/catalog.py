@@ -813,3 +813,52 @@ def mosaic_layout(spark, sf):
     from pixelgrove.sources.store import mosaic
 
     return mosaic(fx.global_docs(spark, sf), "class_id", "id", 16).select("id", "class_id", "row", "col")
+
+
+# ---- images and streams --------------------------------------------------
+
+
+@query("gdocs", "SELECT id, (id % 3000 + 1)::INT AS width, (id % 2000 + 1)::INT AS height FROM gdocs")
+def jpeg_size(spark, sf):
+    """Sizes from the headers of made files: a comment segment, then a frame header."""
+    from pixelgrove.functions.jpeg import jpeg_size as size
+
+    two = lambda c: F.lpad(F.hex(c), 4, "0")
+    content = F.unhex(F.concat(F.lit("FFD8FFFE0004ABCDFFC0001108"), two(F.col("id") % 2000 + 1), two(F.col("id") % 3000 + 1), F.lit("03012200021101031101")))
+    return fx.global_docs(spark, sf).select("id", size(content).alias("m")).select("id", "m.*")
+
+
+@query("lat", "SELECT epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS start, track, count(*) AS n, round(avg(latency_ms), 6) AS mean FROM lat GROUP BY ALL")
+def tumbling_windows(spark, sf):
+    """Extension: statistics of events by day."""
+    from pixelgrove.streaming.ingest import windowed
+
+    rows = windowed(fx.latencies(spark, sf), "1 day", by="track", value="latency_ms")
+    return rows.select(F.unix_timestamp("start").alias("start"), "track", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("lat", "WITH s AS (SELECT time_bucket(INTERVAL '12 hours', ts) - o AS start, track FROM lat CROSS JOIN (VALUES (INTERVAL '0 hours'), (INTERVAL '12 hours')) v(o)) SELECT epoch(start)::BIGINT AS start, track, count(*) AS n FROM s GROUP BY ALL")
+def sliding_windows(spark, sf):
+    """Extension: windows of a day, every twelve hours."""
+    from pixelgrove.streaming.ingest import windowed
+
+    return windowed(fx.latencies(spark, sf), "24 hours", "12 hours", by="track", value="latency_ms").select(F.unix_timestamp("start").alias("start"), "track", "n")
+
+
+@query("lat", """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM lat),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT floor(epoch(min(ts)))::BIGINT AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf):
+    """Extension: sessions of a user with a gap of six hours."""
+    from pixelgrove.streaming.ingest import sessions
+
+    return sessions(fx.latencies(spark, sf), "6 hours").select(F.unix_timestamp("start").alias("start"), "user_id", "n")
+
+
+@query("gdocs", "SELECT (SELECT count(*) FROM gdocs) AS received, (SELECT count(*) FROM gdocs WHERE id % 2 = 0) AS indexed, count(*) FILTER (class_id IN (2, 3, 5, 7, 8)) AS vehicles, count(*) FILTER (class_id = 0) AS people, count(*) FILTER (class_id NOT IN (0, 2, 3, 5, 7, 8)) AS skipped, (SELECT count(*) FROM gdocs WHERE id % 2 = 1) AS duplicates FROM gdocs WHERE id % 2 = 0")
+def ingest_batch(spark, sf):
+    """A batch in which every odd image repeats the content of the one before; vec_id runs without gaps."""
+    from pixelgrove.operators.ingest import batch
+
+    docs = fx.global_docs(spark, sf)
+    images = docs.select(F.col("id").alias("image_id"), F.concat(F.lit("c"), (F.col("id") - F.col("id") % 2).cast("string")).alias("content"), "embedding", F.array(F.struct("class_id")).alias("detections"), F.array(F.lit("line"), F.lit(" ")).alias("texts"))
+    return batch(images, images.limit(0))["counters"]

@@ -75,25 +75,26 @@ def match(reference: DataFrame, test: DataFrame, threshold: float = 0.5, image:
 
     Each reference box in order takes the free test box of the largest overlap
     of at least ``threshold``; of equal ones the first. Classes do not matter.
+    Only overlapping pairs, in that order, are folded.
     """
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(image).agg(F.sort_array(F.collect_list(F.struct(F.col(tie).alias("id"), F.col(score).alias("s"), *SIDES))).alias(name))
-
-    both = packed(reference, "r").join(packed(test, "t"), image, "full")
-    item = dict(both.dtypes)["t"]
-    both = both.withColumns({"r": F.coalesce("r", F.array().cast(item)), "t": F.coalesce("t", F.array().cast(item))})
-    pair = "array<struct<ref:bigint,test:bigint,iou:double,conf_diff:double,distance:double>>"
-
-    def step(acc, r):
-        free = F.filter("t", lambda t: ~F.exists(acc, lambda m: m["test"] == t["id"]) & (iou(r, t) >= threshold))
-        best = F.aggregate(free, F.struct(F.lit(-1.0).alias("o"), F.lit(None).cast(item[6:-1]).alias("t")), lambda b, t: F.when(iou(r, t) > b["o"], F.struct(iou(r, t).alias("o"), t.alias("t"))).otherwise(b))
-        t = best["t"]
-        dx, dy = (r["x1"] + r["x2"] - t["x1"] - t["x2"]) / 2, (r["y1"] + r["y2"] - t["y1"] - t["y2"]) / 2
-        new = F.struct(r["id"].cast("long").alias("ref"), t["id"].cast("long").alias("test"), best["o"].alias("iou"), F.abs(r["s"] - t["s"]).alias("conf_diff"), F.sqrt(dx * dx + dy * dy).alias("distance"))
-        return F.when(t.isNull(), acc).otherwise(F.array_append(acc, new))
-
-    return both.select(image, F.size("r").cast("long").alias("n_reference"), F.size("t").cast("long").alias("n_test"), F.aggregate("r", F.array().cast(pair), step).alias("matches"))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(image).alias("__image"), F.struct(F.col(tie).cast("long").alias("id"), F.col(score).alias("s"), *SIDES).alias(name))
+
+    r, t = F.col("r"), F.col("t")
+    pairs = side(reference, "r").join(side(test, "t"), "__image").withColumn("o", iou(r, t)).where(F.col("o") >= threshold)
+    centre = lambda low, high: (r[low] + r[high] - t[low] - t[high]) / 2
+    dx, dy = centre("x1", "x2"), centre("y1", "y2")
+    item = F.struct(r["id"].alias("ref"), (-F.col("o")).alias("o"), t["id"].alias("test"), F.abs(r["s"] - t["s"]).alias("conf_diff"), F.sqrt(dx * dx + dy * dy).alias("distance"))
+    packed = pairs.groupBy("__image").agg(F.sort_array(F.collect_list(item)).alias("l"))
+    kind = dict(packed.dtypes)["l"]
+    taken = F.aggregate("l", F.array().cast(kind), lambda acc, p: F.when(F.exists(acc, lambda m: (m["ref"] == p["ref"]) | (m["test"] == p["test"])), acc).otherwise(F.array_append(acc, p)))
+    found = packed.select("__image", F.transform(taken, lambda m: F.struct(m["ref"].alias("ref"), m["test"].alias("test"), (-m["o"]).alias("iou"), m["conf_diff"].alias("conf_diff"), m["distance"].alias("distance"))).alias("matches"))
+    none = F.array().cast(dict(found.dtypes)["matches"])
+    both = reference.select(image, F.lit(1).alias("r"), F.lit(0).alias("t")).unionByName(test.select(image, F.lit(0).alias("r"), F.lit(1).alias("t")))
+    counts = both.groupBy(image).agg(F.sum("r").alias("n_reference"), F.sum("t").alias("n_test"))
+    out = counts.join(found, F.col(image) == F.col("__image"), "left")
+    return out.select(image, "n_reference", "n_test", F.coalesce("matches", none).alias("matches"))
 
 
 def metrics(matched: DataFrame, image: str = "image_id") -> DataFrame:

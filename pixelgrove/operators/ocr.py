@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pixelgrove.functions.texts import grams, tokens
+from pixelgrove.functions.texts import LEAST_GRAM, MOST_GRAM, grams, tokens
 
 #: Constants of the BM25 weights, and the weight of a phrase match.
 K1, B, PHRASE = 1.2, 0.75, 2.0
@@ -38,31 +40,42 @@ def exact(lines: DataFrame, text: str, column: str = "text") -> DataFrame:
     return lines.where(F.col(column) == text)
 
 
+def gram_count(text: Column) -> Column:
+    """Number of n-grams of a text, from the lengths of its words."""
+    fits = lambda t: sum((F.greatest(F.length(t) - (n - 1), F.lit(0)) for n in range(LEAST_GRAM, MOST_GRAM + 1)), F.lit(0))
+    return F.aggregate(tokens(text), F.lit(0), lambda s, t: s + fits(t))
+
+
 def search(lines: DataFrame, query: str, k: int = 10, min_score: float = 0.0, query_grams: bool = False, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
     """(id, score, rank) by BM25 over the n-grams of each line, plus PHRASE times it where the query is part of the line.
 
     Query terms are whole words, which only match if they are as long as an
-    n-gram; with ``query_grams`` their n-grams count instead. Only rows that
-    share a term with the query are joined; the lengths of lines come from one
-    aggregation.
+    n-gram; with ``query_grams`` their n-grams count instead. A term's
+    frequency in a line is its number of overlapping occurrences, as n-grams do
+    not leave their word and terms have no separators. So lines are projected
+    twice, for the totals and for the scores, and nothing is exploded or joined.
     """
     spark = lines.sparkSession
-    rows = lines.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    terms = rows.select("id", F.flatten(F.transform(tokens(F.col("text")), lambda t: grams(t))).alias("g"))
-    whole = terms.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("g")).alias("mean"))
     asked = tokens(F.lit(query))
-    asked = F.flatten(F.transform(asked, lambda t: grams(t))) if query_grams else asked
-    wanted = spark.range(1).select(F.explode(F.array_distinct(asked)).alias("term"))  # as many rows as the query has terms
-    hits = terms.select("id", F.size("g").alias("len"), F.explode("g").alias("term")).join(F.broadcast(wanted), "term").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(spread), "term").crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    summed = scored.groupBy("id").agg(F.sum(weight).alias("bm25"))
-    joined = summed.join(rows, "id")
-    score = F.col("bm25") * F.when(F.contains(F.lower("text"), F.lit(query.lower())), 1 + PHRASE).otherwise(F.lit(1.0))
-    out = joined.select("id", score.alias("score")).where(F.col("score") >= min_score if min_score > 0 else F.lit(True))
-    return out.orderBy(F.desc(F.round("score", 9)), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).cast("long"))
+    asked = F.flatten(F.transform(asked, lambda t: grams(t))) if query_grams else F.filter(asked, lambda t: F.length(t).between(LEAST_GRAM, MOST_GRAM))
+    terms = sorted(set(spark.range(1).select(asked.alias("t")).first().t))  # as many as the query has
+    if not terms:
+        return lines.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
+    low = F.lower(F.col(text_col))
+    tf = {f"tf{i}": F.when(F.contains(low, F.lit(t)), F.regexp_count(low, F.lit(f"(?={t})"))).otherwise(F.lit(0)) for i, t in enumerate(terms)}
+    total = lines.agg(F.count(F.lit(1)).alias("docs"), F.avg(gram_count(F.col(text_col))).alias("mean"), *[F.count_if(F.contains(low, F.lit(t))).alias(f"tf{i}") for i, t in enumerate(terms)]).first()
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | F.contains(low, F.lit(t))
+    rows = lines.where(hit).select(F.col(id_col).alias("id"), low.alias("low"), gram_count(F.col(text_col)).alias("len"), *[c.alias(n) for n, c in tf.items()])
+    weight = F.lit(0.0)
+    for n in tf:
+        idf = log(1 + (total.docs - total[n] + 0.5) / (total[n] + 0.5))
+        weight = weight + idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("len") / (total.mean or 1.0)))
+    score = weight * F.when(F.contains("low", F.lit(query.lower())), 1 + PHRASE).otherwise(F.lit(1.0))
+    out = rows.select("id", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
+    best = out.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).cast("long"))
 
 
 def reading_order(boxes: DataFrame, gap: float = 10.0, image: str = "image_id", id_col: str = "box_id") -> DataFrame:

@@ -29,24 +29,30 @@ def embed(images: DataFrame, function: Callable, schema: str) -> DataFrame:
     return images.mapInPandas(function, schema)
 
 
-def batch(images: DataFrame, store: DataFrame, content: str = "content") -> dict[str, DataFrame]:
+def batch(images: DataFrame, store: DataFrame, content: str = "content", near: float | None = None, centroids: DataFrame | None = None) -> dict[str, DataFrame]:
     """The collections that a batch of analysed images adds, and the batch's counters.
 
     images: image_id, ``content``, embedding, detections (array of structs with
-    class_id, box and embedding) and texts. Columns hash and size are kept for
-    each new image, so that a later batch finds its duplicates.
+    class_id and more), texts, and if there are any faces and face_embeddings.
+    Hash and size are kept for each new image, so that a later batch finds its
+    duplicates. near: threshold of near-duplicate groups; their patches
+    against ``store`` with the new images come as "groups". centroids: new
+    images get their cluster at once.
     """
-    from pixelgrove.operators import detections, ocr
+    from pixelgrove.operators import clustering, detections, duplicates, faces, ocr
 
     fresh = gate(images, store, content)
     found = detections.fan_out(fresh)
-    lines = ocr.fan_out(fresh)
-    out = {
-        "global": fresh.select("image_id", "embedding", "content_hash", F.length(content).cast("long").alias("file_size_bytes")),
-        "vehicles": found.where("route = 'vehicle'"),
-        "people": found.where("route = 'person'"),
-        "ocr": lines,
-    }
+    rows = fresh.select("image_id", "embedding", "content_hash", F.length(content).cast("long").alias("file_size_bytes"))
+    if centroids is not None:
+        rows = clustering.backfill(rows, clustering.assign(rows, centroids, "image_id"), "image_id")
+    out = {"global": rows, "vehicles": found.where("route = 'vehicle'"), "people": found.where("route = 'person'"), "ocr": ocr.fan_out(fresh)}
+    if {"faces", "face_embeddings"} <= set(images.columns):
+        out["faces"] = faces.fan_out(fresh, embeddings="face_embeddings")
+    if near is not None:
+        old = store.select(F.col("image_id").alias("id"), "embedding", (F.col(duplicates.GROUP) if duplicates.GROUP in store.columns else F.lit(None).cast("string")).alias(duplicates.GROUP))
+        new = fresh.select(F.col("image_id").alias("id"), "embedding", F.lit(None).cast("string").alias(duplicates.GROUP))
+        out["groups"] = duplicates.join_or_create(old.unionByName(new), new, near)
     counts = images.agg(F.count(F.lit(1)).alias("received")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("indexed")))
     counts = counts.crossJoin(found.agg(F.count_if(F.col("route") == "vehicle").alias("vehicles"), F.count_if(F.col("route") == "person").alias("people"), F.count_if(F.col("route") == "other").alias("skipped")))
     out["counters"] = counts.withColumn("duplicates", F.col("received") - F.col("indexed"))

@@ -102,6 +102,11 @@ class Collection:
         rows = rows.select(*columns) if columns else rows
         return rows if most is None else rows.limit(most)
 
+    def get(self, key: str, value: object, columns: list[str] | None = None) -> DataFrame:
+        """The row of a key, pruned to ``columns``."""
+        rows = self.read().where(F.col(key) == F.lit(value))
+        return rows.select(*columns) if columns else rows
+
     def size_mb(self) -> float:
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/v{self.version():08d}")
         return round((files.agg(F.sum("length")).first()[0] or 0) / 1024 / 1024, 2)

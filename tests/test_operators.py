@@ -86,6 +86,14 @@ def test_training_like_a_plain_version(spark):
         cl.train(docs, 10**6)
 
 
+def test_fit_fills_in_all_rows_and_keeps_those_without_vectors(spark):
+    _, docs = vectors(spark, 40)
+    docs = docs.unionByName(spark.createDataFrame([(77, None)], docs.schema))
+    cents, rows = cl.fit(docs, 1024, rounds=2)
+    assert cents.count() == 16 and rows.where("cluster_id IS NULL").collect()[0].id == 77 and rows.count() == 41
+    assert cl.centroid(cents, 3).count() == 1
+
+
 def test_balance_rules_are_strict_and_in_order(spark):
     def reason(sizes, new=0, old=100):
         z = spark.createDataFrame(list(enumerate(sizes)), "cluster_id int, n long")
@@ -241,6 +249,7 @@ def test_store_versions(spark, tmp_path):
     c.create("id long, v string")
     assert c.version() == 1 and c.read().count() == 0
     c.write(spark.createDataFrame([(1, "a"), (2, None)], "id long, v string"))
+    assert c.get("id", 1, ["v"]).collect()[0].v == "a"
     assert c.scan(["id"], missing="v").collect()[0].id == 2 and c.size_mb() >= 0
     new = upsert(c.read(), spark.createDataFrame([(2, "b"), (3, "c")], "id long, v string"), "id")
     c.write(patch(new, spark.createDataFrame([(1, None)], "id long, v string"), "id", ["v"]))
@@ -283,6 +292,10 @@ def test_batch_ingest_and_missing_vehicles(spark):
     assert (c.received, c.indexed, c.duplicates, c.vehicles, c.people, c.skipped) == (4, 2, 2, 1, 1, 1)
     assert [r.ocr_id for r in out["ocr"].orderBy("ocr_id").collect()] == ["1_ocr_0", "3_ocr_0"]
     assert gate(images.limit(0), store).count() == 0
+    cents = spark.createDataFrame([(4, [1.0])], "cluster_id long, centroid array<double>")
+    out = batch(images, store, near=0.99, centroids=cents)
+    assert {r.image_id: r.cluster_id for r in out["global"].collect()} == {1: 4, 3: 4}
+    assert {(r.id, r.action) for r in out["groups"].collect()} == {(1, "created_group"), (3, "created_group")}
     d = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "image_id int, class_id int")
     assert {r.image_id: r.vehicles for r in nth_vehicle_missing(d, 1).collect()} == {2: 0}
 

@@ -2,46 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Bits of one row of a Spark bitmap (fixed by bitmap_construct_agg).
-BITMAP_ROW_BITS = 32768
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the setting is absent (local tests) a temporary folder is made
-    and set, since in local mode the driver is the executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-        found = spark.conf.get("pixelgrove.scratch.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="pixelgrove-")
-            spark.conf.set("pixelgrove.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/pixelgrove/{name}-{uuid.uuid4().hex}"
+from pixelgrove.sources.scratch import scratch_path, stage
 
-
-def stage(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    Cuts the lineage like checkpoint(), but keeps columns prunable. The files
-    outlive lost executors; whoever owns the shared folder clears it.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "join_uneven", "key_filter", "may_contain", "scratch_path", "stage"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +33,18 @@ def may_contain(rows: DataFrame, key: Column, bitmaps: DataFrame, bits: int) ->
     hit = F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (pos % 8).cast("int"))) != 0
     held = F.broadcast(bitmaps.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap")))
     return rows.join(held, F.bitmap_bucket_number("__slot") == F.col("__bucket")).where(hit).select(*names)
+
+
+def join_uneven(left: DataFrame, right: DataFrame, key: str, weight: str, least: int = 1000, most_hot: int = 10_000) -> DataFrame:
+    """Left join to unique keys of ``right`` whose column ``weight`` tells how many rows of ``left`` they have.
+
+    Keys with more than ``least`` rows, and more than one in ``most_hot`` of all,
+    are joined by a broadcast where the rows lie: there are at most ``most_hot``
+    of them. So no task of the shuffled rest gets a key with a large share.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    bound = max(least, total // most_hot)
+    hot = right.where(F.col(weight) > bound)
+    spread = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(weight) <= bound), key, "left")
+    return spread.unionByName(rest.select(*spread.columns))

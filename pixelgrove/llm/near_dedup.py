@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pixelgrove.llm.common import key_filter, may_contain, stage
+from pixelgrove.llm.common import join_uneven, key_filter, may_contain, stage
 from pixelgrove.llm.words import WordHashes
 
 TREES, DEPTH, WINDOW, NEAR, REGION_ROWS = 20, 4, 24, 4, 5000
@@ -296,12 +296,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sketched = stage(sketch(docs, shingle, id_col, text_col), "sketches")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    grouped = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"))
-    classes = stage(grouped.select(node.alias("node"), "rep", "signature"), "classes")
+    grouped = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+    classes = stage(grouped.select(node.alias("node"), "rep", "signature", "n"), "classes")
     names = classes.select("node", "rep")
 
     pairs = stage(candidates(forest(classes, region_rows)), "pairs")
-    best = pairs.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    # ties by a hash, so no class is the partner of most
+    best = pairs.groupBy("b").agg(F.max(F.struct("votes", F.xxhash64("a", "b").alias("h"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = components(verify(best, texts, names, shingle, percent))
     links = stage(links, "links")
     open_pairs = (
@@ -319,8 +320,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = links.join(names, "node")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "root").select("node", "component_id")
-    by_node = names.join(of_class, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "text_key", "n_shingles", node.alias("node")).join(by_node, "node", "left")
+    by_node = classes.select("node", "rep", "n").join(of_class, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), "n")
+    out = join_uneven(sketched.select("doc_id", "text_key", "n_shingles", node.alias("node")), stage(by_node, "components"), "node", "n")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -2,9 +2,9 @@
 
 An index is a folder of immutable runs. Each input task is a memtable: it is
 flushed as one file of (digest, id) rows sorted by digest, with a Parquet
-Bloom filter and min/max statistics over the digest. Compaction merges all
-runs into one sorted run that keeps, for each digest, the smallest and the
-largest identifier and the number of rows. Digests are only trusted after
+Bloom filter and min/max statistics over the digest. Compaction merges fresh
+runs and the last merged one into a new merged run that keeps, for each
+digest, the smallest and the largest identifier and the number of rows. Digests are only trusted after
 byte verification: rows whose digest occurs more than once are grouped by
 (digest, whole text), so different texts with one digest end in different
 classes. Everything runs in DataFrame operations.
@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pixelgrove.llm.common import key_filter, may_contain, scratch_path, stage
+from pixelgrove.llm.common import join_uneven, key_filter, may_contain, scratch_path, stage
 
 
 def sha256_digest(text: Column) -> Column:
@@ -29,35 +29,55 @@ def sha256_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted runs of (digest, id) below one folder."""
+    """Sorted runs below one folder: flushed ones of (digest, id), and at most one merged run that counts.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.levels = spark, path, []
+    A write goes to a new path and is listed when it is whole, so a failed one changes nothing.
+    """
+
+    RUN, MERGED = "digest binary, id long", "digest binary, smallest long, largest long, n long"
 
-    def flush(self, rows: DataFrame) -> str:
-        """Write a level-0 run; each task flushes its own sorted file."""
-        run = f"{self.path}/run-{len(self.levels):05d}"
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.flushed: list[str] = []  # all runs of single rows
+        self.fresh: list[str] = []  # those that are not merged yet
+        self.merged: str | None = None
+        self.made = 0
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        run = f"{self.path}/{name}-{self.made:05d}"
         (
-            rows.sortWithinPartitions("digest", "id")
-            .write.option("compression", "zstd")
+            rows.write.option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.expected.ndv#digest", "100000")
             .parquet(run)
         )
-        self.levels.append(run)
+        self.made += 1
         return run
 
+    def flush(self, rows: DataFrame) -> None:
+        """Each input task is a memtable and flushes its own sorted file."""
+        run = self._write(rows.sortWithinPartitions("digest", "id"), "run")
+        self.flushed.append(run)
+        self.fresh.append(run)
+
     def rows(self) -> DataFrame:
-        if not self.levels:
-            return self.spark.createDataFrame([], "digest binary, id long")
-        return self.spark.read.parquet(*self.levels)
+        return self.spark.read.schema(self.RUN).parquet(*self.flushed) if self.flushed else self.spark.createDataFrame([], self.RUN)
+
+    def compact(self) -> DataFrame:
+        """Merge the fresh runs with the merged one; it keeps the smallest and largest id and the number of each digest.
 
-    def compacted(self) -> DataFrame:
-        """One row a digest; partial aggregation inside each run comes before the merge."""
-        return self.rows().groupBy("digest").agg(F.min("id").alias("smallest"), F.max("id").alias("largest"), F.count(F.lit(1)).alias("n"))
+        Copies inside a run are added up before the shuffle.
+        """
+        if self.fresh:
+            new = self.spark.read.schema(self.RUN).parquet(*self.fresh).select("digest", F.col("id").alias("smallest"), F.col("id").alias("largest"), F.lit(1).cast("long").alias("n"))
+            if self.merged:
+                new = new.unionByName(self.spark.read.schema(self.MERGED).parquet(self.merged))
+            new = new.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
+            self.merged, self.fresh = self._write(new.sortWithinPartitions("digest"), "merged"), []
+        return self.spark.read.schema(self.MERGED).parquet(self.merged) if self.merged else self.spark.createDataFrame([], self.MERGED)
 
     def lookup(self, digests: list[bytes]) -> DataFrame:
-        """Rows of given digests; run files without them are skipped by statistics and Bloom filters."""
+        """Flushed rows of given digests; files without them are skipped by their statistics and Bloom filters."""
         return self.rows().where(F.col("digest").isin([F.lit(bytes(d)) for d in digests]))
 
 
@@ -76,12 +96,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = DigestIndex(docs.sparkSession, path or scratch_path(docs.sparkSession, "digest-index"))
     index.flush(src.select(digest(F.col("text")).alias("digest"), "id"))
 
-    hits = index.compacted().where("n > 1")
+    hits = index.compact().where("n > 1")
     near = may_contain(src.withColumn("digest", digest(F.col("text"))), F.col("digest"), key_filter(hits, "digest", filter_bits), filter_bits)
     classes = stage(near.groupBy("digest", "text").agg(F.min("id").alias("smallest"), F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")), "verified-classes")
     # A digest with two texts is a collision: its rows find their class by text as well.
     by_digest = classes.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1")
-    out = index.rows().join(by_digest.select("digest", F.col(keep).alias("keep_id"), "n", "texts"), "digest", "left")
+    out = join_uneven(index.rows(), by_digest.select("digest", F.col(keep).alias("keep_id"), "n", "texts"), "digest", "n")
     plain = out.where("texts IS NULL OR texts = 1").select("id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
     clashed = by_digest.where("texts > 1").select(F.col("digest").alias("clash"))
     if not clashed.isEmpty():

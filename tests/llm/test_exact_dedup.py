@@ -1,8 +1,10 @@
+import hashlib
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from pixelgrove.llm.exact_dedup import DigestIndex, exact_dedup, sha256_digest
+from pixelgrove.llm.common import join_uneven, key_filter, may_contain
+from pixelgrove.llm.exact_dedup import DigestIndex, drop_copies, exact_dedup, sha256_digest
 
 SCHEMA = "doc_id long, text string, digest string, n int"  # clashing names
 ROWS = [(5, "a", "x", 1), (2, "a", None, 2), (9, "b", "x", 3), (1, None, "x", 4), (7, "", "x", 5), (None, "a", "x", 6), (None, "solo", "x", 7), (3, "c" * 300_000, "x", 8), (4, "c" * 300_000, "x", 9), (4, "c" * 300_000, "x", 9), (6, "A", "x", 1)]
@@ -39,12 +41,43 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_index_runs_are_searched(spark, tmp_path):
+def test_index_merges_run_after_run(spark, tmp_path):
     index = DigestIndex(spark, f"file://{tmp_path}/index")
-    for part in (["a", "b"], ["a", "c"]):
-        index.flush(spark.createDataFrame([(i, t) for i, t in enumerate(part)], "id long, text string").select(sha256_digest(F.col("text")).alias("digest"), "id"))
-    import hashlib
-
+    assert index.compact().count() == 0 and index.rows().count() == 0
+    want = {}
+    for start, part in ((0, ["a", "b"]), (10, ["a", "c"]), (20, ["c"])):
+        rows = spark.createDataFrame([(start + i, t) for i, t in enumerate(part)], "id long, text string")
+        index.flush(rows.select(sha256_digest(F.col("text")).alias("digest"), "id"))
+        for i, t in enumerate(part):
+            want.setdefault(t, []).append(start + i)
+        if start != 10:
+            index.compact()
+    assert sorted((r.smallest, r.largest, r.n) for r in index.compact().collect()) == sorted((min(v), max(v), len(v)) for v in want.values())
     assert index.lookup([hashlib.sha256(b"a").digest()]).count() == 2
     assert index.lookup([hashlib.sha256(b"z").digest()]).count() == 0
-    assert {(r.smallest, r.n) for r in index.compacted().collect()} == {(0, 2), (1, 1)}
+
+
+def test_rows_that_stay(spark):
+    rows = [(2, "a", "en", 1), (2, "a", "en", 1), (5, "a", "fr", 2), (7, None, "en", 3), (3, "", None, 4), (None, "z", "en", 5), (None, "z", "en", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, digest int")
+    out = drop_copies(docs, keep="largest")
+    assert out.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(5, "a"), (7, None), (None, "z")], key=str)
+    assert sorted(r.doc_id or 0 for r in drop_copies(docs).collect()) == [0, 2, 3]
+
+
+def test_uneven_join(spark):
+    left = spark.createDataFrame([(i % 7 if i % 2 else 3, i) for i in range(400)] + [(None, -1)], "k int, v int")
+    right = left.groupBy("k").count().where("k IS NOT NULL").select("k", F.col("count").alias("n"), (F.col("k") * 10).alias("p")).where("k <> 5")
+    want = sorted(left.join(right, "k", "left").collect(), key=str)
+    for least, hot in ((1000, 10), (50, 1000), (1, 2)):
+        assert sorted(join_uneven(left, right, "k", "n", least, hot).collect(), key=str) == want
+
+
+def test_filters_pass_every_key(spark):
+    keys = spark.range(500).select((F.col("id") * 3).alias("k"))
+    rows = spark.range(1500).select("id")
+    for bits in (1 << 15, 1 << 20):
+        found = {r.id for r in may_contain(rows, F.col("id"), key_filter(keys, "k", bits), bits).collect()}
+        assert {3 * i for i in range(500)} <= found and (bits < 1 << 20 or len(found) < 510)
+    assert may_contain(rows, F.col("id"), key_filter(keys.limit(0), "k", 1 << 15), 1 << 15).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder from spark.checkpoint.dir; only in local mode without that setting a temporary one is made."""
+    """Folder from spark.checkpoint.dir; only in local mode without that setting a temporary one is made, which goes with the process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pixelgrove.scratch.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
-        found = "file://" + tempfile.mkdtemp(prefix="pixelgrove-")
+        folder = tempfile.mkdtemp(prefix="pixelgrove-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("pixelgrove.scratch.dir", found)
     return found.rstrip("/")
 

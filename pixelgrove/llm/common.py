@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pixelgrove.sources.scratch import scratch_path, stage
 
-__all__ = ["documents", "join_uneven", "key_filter", "may_contain", "scratch_path", "stage"]
+__all__ = ["documents", "join_uneven", "key_filter", "may_contain", "scratch_path", "stage", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, such that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def key_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """One-hash Bloom filter of ``keys[key]`` as a table of bitmap rows.
 

@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pixelgrove.llm.common import join_uneven, key_filter, may_contain, scratch_path, stage
+from pixelgrove.llm.common import join_uneven, key_filter, may_contain, scratch_path, stage, unused
 
 
 def sha256_digest(text: Column) -> Column:
@@ -116,9 +116,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat id and text any one stays; of a class without ids, too.
     """
-    kept = exact_dedup(docs, id_col, text_col, keep, **settings).where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__of")).distinct()
-    digest = settings.get("digest", sha256_digest)
-    rows = docs.withColumn("__digest", digest(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(kept, (F.col("__digest") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    same = F.coalesce(F.col(text_col), F.lit("")) if digest is not sha256_digest else F.col("__digest")
-    return rows.withColumn("__same", same).dropDuplicates([id_col, "__same"]).select(*docs.columns)
+    own_id, own, of, same = (unused(docs, n) for n in ("__id", "__digest", "__of", "__same"))
+    kept = exact_dedup(docs, id_col, text_col, keep, **settings).where("kept").select(F.col("id").alias(own_id), F.col("digest").alias(of)).distinct()
+    digest, text = settings.get("digest", sha256_digest), F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn(own, digest(text))
+    rows = rows.join(kept, (F.col(own) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(own_id)), "left_semi")
+    return rows.withColumn(same, F.col(own) if digest is sha256_digest else text).dropDuplicates([id_col, same]).select(*docs.columns)

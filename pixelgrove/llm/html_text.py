@@ -296,14 +296,14 @@ def _page(r: random.Random) -> str:
 
 
 def extract(pages: DataFrame, model: dict | None = None, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """The rows with html replaced by the main text; without a model, one is trained on the made pages."""
+    """The rows with html replaced by the main text (and so is a column of its name); without a model, one is trained on the made pages."""
     held = pages.sparkSession.sparkContext.broadcast(model or fit(labelled_pages()))
-    keep = [c for c in pages.columns if c != html_col]
+    keep = [c for c in pages.columns if c not in (html_col, out_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(page.as_py(), held.value) for page in batch.column(html_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out_col])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html_col] + [f"`{out_col}` string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep] + [f"`{out_col}` string"])
     return pages.mapInArrow(run, schema)

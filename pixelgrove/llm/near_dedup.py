@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pixelgrove.llm.common import join_uneven, key_filter, may_contain, stage
+from pixelgrove.llm.common import join_uneven, key_filter, may_contain, stage, unused
 from pixelgrove.llm.words import WordHashes
 
 TREES, DEPTH, WINDOW, NEAR, REGION_ROWS = 20, 4, 24, 4, 5000
@@ -328,5 +328,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay, those with the smallest id of each component, with all their columns."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__of")), "left_semi")
+    own_id, of = unused(docs, "__id"), unused(docs, "__of")
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(of)).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (text_key(F.col(text_col)) == F.col(of)), "left_semi")

@@ -207,7 +207,8 @@ def train(sample: DataFrame, **settings: int) -> dict:
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """The rows with a further column: the probability that the document is good."""
+    """The rows with a further, or replaced, column: the probability that the document is good."""
+    keep = [c for c in docs.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
                     out.append(scores(part, model))
                     part, size = [], 0
             out.append(scores(part, model))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.concatenate(out))], [*keep, out_col])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{out_col}` double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep] + [f"`{out_col}` double"])
     return docs.mapInArrow(run, schema)

@@ -21,6 +21,8 @@ from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pixelgrove.llm.common import unused
+
 #: Kind, pattern, group whose length counts, least length of that group.
 BASE = (
     ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -121,16 +123,16 @@ def _spans(text: Column, pattern: str, group: int, least: int, rank: int) -> Col
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Adds __base and __all: sorted spans, those of the patterns and with those of the model."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__base", F.sort_array(F.concat(*[_spans(text, pattern, group, least, rank) for rank, (_, pattern, group, least) in enumerate(BASE)])))
-    rows = rows.withColumn("__more", _spans(text, CANDIDATE, 0, LEAST, len(BASE)))
-    apart = F.filter("__more", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("__more", F.when(F.size("__more") > 0, apart).otherwise(F.col("__more")))
-    judged = F.filter("__more", lambda c: ratio(F.substring(text, c["start"] + 1, c["end"] - c["start"]), model) >= threshold)
-    more = F.when(F.size("__more") > 0, judged).otherwise(F.col("__more"))
-    return rows.withColumn("__all", F.sort_array(F.concat("__base", more))).drop("__more")
+def with_spans(docs: DataFrame, model: list[float], text_col: str, base: str, every: str, threshold: float = THRESHOLD) -> DataFrame:
+    """Adds two columns of sorted spans: those of the patterns, and these with those of the model."""
+    text, other = F.coalesce(F.col(text_col), F.lit("")), unused(docs, "__more")
+    rows = docs.withColumn(base, F.sort_array(F.concat(*[_spans(text, pattern, group, least, rank) for rank, (_, pattern, group, least) in enumerate(BASE)])))
+    rows = rows.withColumn(other, _spans(text, CANDIDATE, 0, LEAST, len(BASE)))
+    apart = F.filter(other, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    rows = rows.withColumn(other, F.when(F.size(other) > 0, apart).otherwise(F.col(other)))
+    judged = F.filter(other, lambda c: ratio(F.substring(text, c["start"] + 1, c["end"] - c["start"]), model) >= threshold)
+    more = F.when(F.size(other) > 0, judged).otherwise(F.col(other))
+    return rows.withColumn(every, F.sort_array(F.concat(base, more))).drop(other)
 
 
 def _listed(spans: str) -> Column:
@@ -140,7 +142,7 @@ def _listed(spans: str) -> Column:
 
 def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_markov, base_spans, spans."""
-    rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text", threshold)
+    rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, "text", "__base", "__all", threshold)
     number = lambda rank: F.size(F.filter("__all", lambda s: s["rank"] == rank)).cast("long")
     counts = [number(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
     return rows.select("doc_id", *counts, _listed("__base").alias("base_spans"), _listed("__all").alias("spans"))
@@ -148,11 +150,12 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mask: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
     """The same columns and rows, with each span, or run of overlapping spans, of the text replaced."""
-    rows, text = with_spans(docs, model, text_col, threshold), F.coalesce(F.col(text_col), F.lit(""))
+    base, every = unused(docs, "__base"), unused(docs, "__all")
+    rows, text = with_spans(docs, model, text_col, base, every, threshold), F.coalesce(F.col(text_col), F.lit(""))
 
     def step(acc, s):
         cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("__all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("__all") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return rows.withColumn(text_col, F.when(F.size(every) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)

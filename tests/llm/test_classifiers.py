@@ -65,11 +65,11 @@ def test_missing_labels_nulls_empty_and_long_texts(spark, labels):
     rows = [(1, "fine words here."), (2, None), (3, ""), (None, "no id"), (4, "word " * 60_000), (4, "again"), (4, "again"), (5, "\n\n")]
     docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS)
     given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    for found in (toxicity.score(docs, toxicity.train(labelled_rows(docs, given, "toxic", F.lit(True), 10))), quality.score(docs.drop("score"), quality.train(labelled_rows(docs, given, "quality", F.lit(True), 10)))):
+    for found in (toxicity.score(docs, toxicity.train(labelled_rows(docs, given, "toxic", F.lit(True), 10))), quality.score(docs, quality.train(labelled_rows(docs, given, "quality", F.lit(True), 10)))):
         values = [r.score for r in found.collect()]
         assert len(values) == len(rows) and all(0 <= v <= 1 for v in values)
     assert toxicity.score(docs.limit(0), (np.zeros(0, "i8"), np.zeros(0, "f4"), 0.0)).count() == 0
-    assert quality.score(docs.drop("score").limit(0), {"rate": 1.0, "w": None}).count() == 0
+    assert quality.score(docs.limit(0), {"rate": 1.0, "w": None}).count() == 0
 
 
 def test_weights_are_sparse():

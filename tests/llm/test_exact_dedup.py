@@ -59,7 +59,7 @@ def test_index_merges_run_after_run(spark, tmp_path):
 
 def test_rows_that_stay(spark):
     rows = [(2, "a", "en", 1), (2, "a", "en", 1), (5, "a", "fr", 2), (7, None, "en", 3), (3, "", None, 4), (None, "z", "en", 5), (None, "z", "en", 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, digest int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest string, __id int")
     out = drop_copies(docs, keep="largest")
     assert out.columns == docs.columns
     assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(5, "a"), (7, None), (None, "z")], key=str)

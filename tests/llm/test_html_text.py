@@ -5,7 +5,7 @@ import pytest
 
 from pixelgrove.llm.html_text import blocks, extract, fit, labelled_pages, labels, main_text, viterbi
 
-SCHEMA = "page_id long, url string, html string, text2 string"
+SCHEMA = "page_id long, url string, html string, text string"
 
 
 @pytest.fixture(scope="module")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from pixelgrove.llm.near_dedup import close_crowds, drop_near_copies, near_duplicates
 
 SCHEMA = "doc_id long, text string, node string, digest string"
@@ -82,6 +84,6 @@ def test_repeats_and_null_ids(spark):
 
 def test_empty_table_and_filter(spark):
     assert run(spark, []) == []
-    docs = spark.createDataFrame([(2, "a b c d e f", "en"), (1, "a b c d e f", "en"), (3, "g h", None)], "doc_id long, text string, lang string")
-    assert {(r.doc_id, r.lang) for r in drop_near_copies(docs).collect()} == {(1, "en"), (3, None)}
+    docs = spark.createDataFrame([(2, "a b c d e f", "en"), (1, "a b c d e f", "en"), (3, "g h", None)], "doc_id long, text string, __id string").withColumnRenamed("__id", "__of").withColumn("__id", F.col("__of"))
+    assert {(r.doc_id, r["__of"]) for r in drop_near_copies(docs).collect()} == {(1, "en"), (3, None)}
     assert close_crowds.__doc__

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pixelgrove.llm.common import documents, stage
+from pixelgrove.llm.common import documents, stage, unused
 from pixelgrove.llm.exact_dedup import drop_copies
 from pixelgrove.llm.near_dedup import drop_near_copies
 from pixelgrove.llm.packing import pack
@@ -24,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(labelled_rows(docs, labels, "quality", ~held_out(F.col("doc_id"), 5, 0), SAMPLE_ROWS))
-    return score(docs, model, out_col="__quality").where(F.col("__quality") >= QUALITY_THRESHOLD).select(*docs.columns)
+    name = unused(docs, "__quality")
+    return score(docs, model, out_col=name).where(F.col(name) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Limits of a block: distinct words, and pre-tokens.
 BLOCK_WORDS, BLOCK_TOKENS = 200_000, 3_000_000
-#: Word rows a block is split into.
-SHARDS = 512
+#: Least words of a full block that go to a shard; it bounds the number of shards.
+SHARD_WORDS = 64
 BLOCK_SCHEMA = "route long, home long, docs array<long>, counts array<long>, numbers binary, words binary"
 
 
@@ -172,10 +172,14 @@ def _kind(words: bool) -> Column:
     return F.when(F.spark_partition_id() >= 0, F.col("route") < 0) == F.lit(words)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, block_words: int = BLOCK_WORDS, block_tokens: int = BLOCK_TOKENS, word_cache: int = 2_000_000) -> DataFrame:
-    """(doc_id, ids): ids as little-endian u32 in a binary value, one row per input row."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_words: int = BLOCK_WORDS, block_tokens: int = BLOCK_TOKENS, word_cache: int = 2_000_000) -> DataFrame:
+    """(doc_id, ids): ids as little-endian u32 in a binary value, one row per input row.
+
+    shards: as many as there are shuffle partitions, within 64 and block_words / SHARD_WORDS, unless given.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(64, min(parts, block_words // SHARD_WORDS))
     held = spark.sparkContext.broadcast(ranks)  # a vocabulary file: fixed size
     blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(pattern, shards, block_words, block_tokens), BLOCK_SCHEMA)
     dealt = blocks.repartition(parts, "route")
@@ -184,14 +188,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the bytes of the ids (null stays null), by a join with the table of token bytes inside each batch."""
+    """Adds, or replaces, the bytes of the ids (null stays null), by a join with the table of token bytes inside each batch."""
     held = coded.sparkSession.sparkContext.broadcast({i: token for token, i in ranks.items()})  # fixed size, as above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = held.value.__getitem__
         for batch in batches:
             out = [None if (x := v.as_py()) is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for v in batch.column(ids_col)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], [*keep, out_col])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema] + [f"`{out_col}` binary"])
+    keep = [c for c in coded.columns if c != out_col]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name in keep] + [f"`{out_col}` binary"])
     return coded.mapInArrow(run, schema)

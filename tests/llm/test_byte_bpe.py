@@ -23,4 +23,5 @@ def test_like_the_library_and_round_trip(spark):
 
 def test_empty_table_and_null_ids(spark):
     assert encode(spark.createDataFrame([], SCHEMA), RANKS, public_tokenizers.PATTERN).count() == 0
-    assert decode(spark.createDataFrame([(1, None)], "doc_id long, ids binary"), RANKS).first().decoded is None
+    odd = decode(spark.createDataFrame([(1, None, "x")], "doc_id long, ids binary, decoded string"), RANKS)
+    assert odd.columns == ["doc_id", "ids", "decoded"] and odd.first().decoded is None

@@ -17,12 +17,14 @@
    candidate of smaller number, which joins groups by a tree of links; then all
    further pairs whose ends are still in different components. A pair inside a
    component can't change the result.
-5. Closing. In regions that a component crowds, the classes outside it meet
-   all others of the region, so that NEAR costs no link.
+5. Closing. In every region of more than WINDOW + 1 classes, in all trees, the
+   classes outside its largest component meet all others of the region, so that
+   NEAR and the salts cost no link.
 6. Components by alternating large and small stars.
 
 For similarity J, a tree finds a pair with a probability of J**DEPTH; with 20
 trees and depth 4, two find it with 1 - 9e-6 at J = 0.85, 1 - 4e-4 at J = 0.8.
+One is enough where the pair's region is closed.
 Nothing of the size of the input is collected or broadcast; texts travel only
 for classes with candidates.
 
@@ -47,8 +49,8 @@ from pixelgrove.llm.common import join_uneven, key_filter, may_contain, stage, u
 from pixelgrove.llm.words import WordHashes
 
 TREES, DEPTH, WINDOW, NEAR, REGION_ROWS = 20, 4, 24, 4, 5000
-#: Trees whose crowded regions are closed, and classes of a region that meet in one task.
-CLOSING_TREES, CHUNK = 12, 2000
+#: Classes of a region that meet in one group at the closing.
+CHUNK = 2000
 FILTER_BITS = 1 << 25
 _RANDOM = np.random.default_rng(20240229)
 #: Odd multipliers of the MinHash values, two levels of DEPTH a tree.
@@ -214,34 +216,38 @@ def verify(pairs: DataFrame, texts: DataFrame, names: DataFrame, size: int, perc
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def close_crowds(rows: DataFrame, links: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int) -> DataFrame:
-    """Further links (a, b) in the regions that one component crowds.
+def close_crowds(rows: DataFrame, links: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int, least: int = WINDOW + 1) -> DataFrame:
+    """Further links (a, b) in the regions of more than ``least`` classes.
 
-    There the NEAR places before a class may all belong to that component, so
-    classes outside it can miss their partners. Each of them meets all classes
-    of the region, by chunks of both sides and an inverted index over shingles;
-    of each other component it keeps one link.
+    There a class met only some of the others. Each class outside the region's
+    largest component meets all classes of the region, by chunks of both sides
+    and an inverted index over shingles; of each other component it keeps one
+    link. So all pairs of different components are counted, and links found here
+    leave nothing to repeat.
     """
-    held = rows.where(F.col("tree") < CLOSING_TREES).select("tree", "k1", "node").join(links, "node", "left").select("tree", "k1", "node", F.coalesce("root", "node").alias("root"))
+    held = rows.select("tree", "k1", "node").join(links, "node", "left").select("tree", "k1", "node", F.coalesce("root", "node").alias("root"))
     counts = held.groupBy("tree", "k1", "root").agg(F.count(F.lit(1)).alias("n"))
-    crowds = counts.groupBy("tree", "k1").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total")).where((F.col("m.n") > WINDOW) & (F.col("total") > F.col("m.n")))
+    crowds = counts.groupBy("tree", "k1").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total")).where((F.col("total") > least) & (F.col("total") > F.col("m.n")))
     crowds = stage(crowds.select("tree", "k1", F.col("m.root").alias("main"), F.ceil(F.col("total") / CHUNK).alias("chunks"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).alias("turns")), "crowds")
     inside = stage(held.join(crowds, ["tree", "k1"]), "crowded")
     if inside.isEmpty():
         return links.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["tree", "k1", "chunk", "turn"]
-    members = inside.select("tree", "k1", part("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "node", "root", F.lit(False).alias("asks"))
-    asking = inside.where("root <> main").select("tree", "k1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), part("turns").alias("turn"), "node", "root", F.lit(True).alias("asks"))
+    # a class is in its own chunk for each turn, and one that asks is in its own turn for each chunk; where these meet it is one row
+    dealt = inside.withColumns({"own": part("chunks"), "own_turn": part("turns"), "outside": F.col("root") != F.col("main")})
+    members = dealt.withColumn("turn", every("turns")).select("tree", "k1", F.col("own").alias("chunk"), "turn", "node", "root", F.lit(True).alias("member"), (F.col("outside") & (F.col("turn") == F.col("own_turn"))).alias("asks"))
+    asking = dealt.where("outside").withColumn("chunk", every("chunks")).where("chunk <> own").select("tree", "k1", "chunk", F.col("own_turn").alias("turn"), "node", "root", F.lit(False).alias("member"), F.lit(True).alias("asks"))
     with_text = members.unionByName(asking).join(texts_of(inside.select("node").distinct(), texts, names), "node")
 
     def run(group: pa.Table) -> pa.Table:
-        known, nodes, roots, sets, asks = WordHashes(), [], [], [], []
-        for node, root, ask, text in zip(group.column("node").to_pylist(), group.column("root").to_pylist(), group.column("asks").to_pylist(), group.column("text"), strict=True):
+        known, nodes, roots, sets, asks, members = WordHashes(), [], [], [], [], []
+        for node, root, ask, member, text in zip(*[group.column(c).to_pylist() for c in ("node", "root", "asks", "member")], group.column("text"), strict=True):
             found = shingles(text.as_py(), size, known)
             if len(found) and node_of(digest(found)) == node:
-                nodes.append(node), roots.append(root), sets.append(found), asks.append(ask)
-        here = [i for i, ask in enumerate(asks) if not ask]
+                nodes.append(node), roots.append(root), sets.append(found), asks.append(ask), members.append(member)
+        here = [i for i, member in enumerate(members) if member]
         a, b = [], []
         if here:
             flat, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), [len(sets[i]) for i in here])
@@ -256,7 +262,7 @@ def close_crowds(rows: DataFrame, links: DataFrame, texts: DataFrame, names: Dat
                     b.append(max(nodes[i], nodes[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return with_text.select(*keys, "node", "root", "asks", "text").groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
+    return with_text.select(*keys, "node", "root", "asks", "member", "text").groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
 
 
 def texts_of(nodes: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -315,7 +321,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     more = verify(stage(open_pairs, "open-pairs"), texts, names, shingle, percent)
     as_edges = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     links = stage(components(as_edges(links).unionByName(more)), "links")
-    more = close_crowds(forest(classes, region_rows), links, texts, names, shingle, percent)
+    more = close_crowds(forest(classes, region_rows), links, texts, names, shingle, percent, min(WINDOW + 1, region_rows))
     links = components(as_edges(links).unionByName(more))
     named = links.join(names, "node")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))

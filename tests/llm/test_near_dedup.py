@@ -76,6 +76,33 @@ def test_large_regions_are_cut_and_still_joined(spark):
     assert run(spark, rows, shingle=3, percent=85, region_rows=20) == brute(rows, 3, 85)
 
 
+def family(seed, size, pairs):
+    """Texts of one template just below the threshold of each other, and pairs of them above it."""
+    r = random.Random(seed)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(size):
+        w = list(base)
+        for at in r.sample(range(120), 3):
+            w[at] = f"u{i}x{at}"
+        rows.append(w)
+    for i in range(pairs):
+        w = list(rows[i])
+        for at in r.sample(range(3, 117), 3):
+            w[at] = f"v{i}x{at}"
+        rows.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    r.shuffle(rows)
+    return rows
+
+
+def test_pairs_in_a_family_just_below_the_threshold(spark):
+    rows = family(5, 600, 60)
+    want = brute(rows, 3, 85)
+    assert sum(doc != of for doc, _, of in want) >= 60 and len({of for _, _, of in want}) > 500
+    assert run(spark, rows, shingle=3, percent=85) == want
+    assert run(spark, rows, shingle=3, percent=85, region_rows=50) == want
+
+
 def test_repeats_and_null_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q r s t"), (5, "q r s t"), (7, None), (7, "lone text here")]
     found = run(spark, rows, shingle=3, percent=85)

@@ -1,33 +1,34 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines, and the paragraphs, that contain one of
-``CUES``. Each block is compressed by zstandard alone and with each template
-as a raw dictionary; the templates are ranked by how much they reduce the
-size. The best ``RANKED`` are then compared with the block word by word: a
-template wins if nearly all of its words occur in order, few other words stand
-between them, and every word of ``must`` (names and versions) is among those
-that agree. The differences are part of the result.
+Candidate blocks are the paragraphs, of any length, that contain one of
+``CUES``. Around each place of the rarest ``must`` word of a template (names
+and versions) its words are compared with the block's one by one: it is
+confirmed if nearly all of them occur in order, few other words stand between
+them, and every ``must`` word is among those that agree. Of confirmed templates
+that overlap the one with the fewest differences counts, then the one that as a
+raw zstandard dictionary reduces the size of the place most. What lies beside
+it is compared again until nothing is confirmed. The differences are part of
+the result.
 
 One pass over all rows without a shuffle; the templates are a fixed table.
 
 Cases: null or empty text has no findings; a null doc_id is carried as null;
 repeated rows are scanned each; blocks that tie take the template named first;
-an empty table gives no rows; other columns are ignored. A paragraph of more
-than ``PARAGRAPH`` characters is looked at by its lines only, as no template
-is longer; lines of any length are looked at whole, by sentences.
+an empty table gives no rows; other columns are ignored. A notice is not
+followed over an empty line.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-RANKED, PARAGRAPH = 4, 6000
 #: Least share of a template's words that agree, and most other words in between as a share of them.
 AGREE, BETWEEN = 0.7, 0.3
 CUES = ("licens", "licence", "copyright", "all rights reserved", "permission is hereby granted", "permission to use, copy", "redistribution and use", "free software", "public domain", "without warranty")
@@ -65,7 +66,6 @@ TEMPLATES = (
 )
 
 WORD = re.compile(r"[^\W_](?:[\w.+-]*[^\W_])?")
-SENTENCE = re.compile(r"(?<=[.!?;:])\s+(?=[A-Z(])")
 
 
 def words(text: str) -> list[str]:
@@ -83,7 +83,6 @@ class Scanner:
         raw = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, _, w in self.templates]
         self.alone = lambda b: len(plain.compress(b))
         self.given = [zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in raw]
-        self.judge = lru_cache(50_000)(self._judge)
 
     def rank(self, block: list[str]) -> list[tuple[float, int]]:
         """(size reduction, template) from the largest; ties in the order of the templates."""
@@ -101,25 +100,68 @@ class Scanner:
         between = sum(max(0, b.b - a.b - a.size) for a, b in zip(same, same[1:], strict=False))
         return agreed / len(ours), len(ours) - agreed, between, frozenset(w for m in same for w in ours[m.a : m.a + m.size]), same[0].b, same[-1].b + same[-1].size - 1
 
-    def _judge(self, text: str) -> tuple[str, int, float, int, int] | None:
-        """(license, number of differing words, size reduction, start, end) of the confirmed winner."""
-        block = words(text)
-        if not block:
+    def _confirm(self, template: int, block: list[str], start: int, end: int) -> tuple | None:
+        """(differing words as a share, -size reduction, template, differing words, first and past last word) of the best run of agreeing words within these bounds."""
+        name, must, ours = self.templates[template]
+        part = block[start:end]
+        if not must.issubset(part) or sum(map(set(part).__contains__, ours)) < AGREE * len(ours):
             return None
-        confirmed = []
-        for reduction, i in self.rank(block)[:RANKED]:
-            name, must, ours = self.templates[-i]
-            found = self.differences(-i, block) if reduction > 0 else None
-            if found and found[0] >= AGREE and found[2] <= BETWEEN * len(ours) and must <= found[3]:
-                confirmed.append((found[1] + found[2], -reduction, -i, name, reduction, found[4], found[5]))
-        if not confirmed:
+        same = [m for m in SequenceMatcher(None, ours, part, autojunk=False).get_matching_blocks() if m.size]
+        best = None
+        for i in range(len(same)):  # words that agree by chance may stand before and behind the notice
+            agreed = between = 0
+            for j in range(i, len(same)):
+                agreed += same[j].size
+                between += same[j].b - same[j - 1].b - same[j - 1].size if j > i else 0
+                if between > BETWEEN * len(ours):
+                    break
+                cost = len(ours) - agreed + between
+                if agreed >= AGREE * len(ours) and (best is None or cost < best[0]) and must.issubset(w for m in same[i : j + 1] for w in ours[m.a : m.a + m.size]):
+                    best = cost, start + same[i].b, start + same[j].b + same[j].size
+        if best is None:
             return None
-        best = min(confirmed, key=lambda c: (c[0] / len(self.templates[c[2]][2]), c[1], c[2]))
+        data = " ".join(block[best[1] : best[2]]).encode()
+        return best[0] / len(ours), len(self.given[template].compress(data)) / self.alone(data) - 1, template, *best
+
+    def judge(self, text: str) -> list[tuple[int, int, str, int]]:
+        """(start, end, license, differing words) of all notices in a block."""
         spots = list(WORD.finditer(text))
-        return best[3], best[0], best[4], spots[best[5]].start(), spots[best[6]].end()
+        block = [m[0].lower() for m in spots]
+        places = defaultdict(list)
+        for at, word in enumerate(block):
+            places[word].append(at)
+        todo = []
+        for i, (_, must, ours) in enumerate(self.templates):
+            if all(w in places for w in must):
+                word = min(sorted(must), key=lambda w: len(places[w]))
+                todo += [(i, at, ours.index(word)) for at in places[word]]
+        taken, won = [-1, len(block)], []  # bounds of what is still open: positions that belong to a notice
+        while todo:
+            found, rest = [], []
+            for i, at, k in todo:
+                n = bisect(taken, at)
+                if taken[n - 1] == at:
+                    continue
+                low, high = taken[n - 1] + 1, taken[n]
+                more = int(BETWEEN * len(self.templates[i][2]))
+                length = len(self.templates[i][2]) + more
+                tried = [self._confirm(i, block, max(low, a), min(high, b)) for a, b in ((at - length, at + length + 1), (at - k - more, at - k + length))]
+                rest.append((i, at, k, max(low, at - length), min(high, at + length + 1)))
+                found += [x for x in tried if x]
+            fresh = []
+            for x in sorted(found):
+                n = bisect(taken, x[4])
+                if taken[n - 1] < x[4] and taken[n] >= x[5]:
+                    taken[n:n] = range(x[4], x[5])
+                    fresh += range(x[4], x[5])
+                    won.append((spots[x[4]].start(), spots[x[5] - 1].end(), self.templates[x[2]][0], x[3]))
+            # only places whose bounds have changed can give something new
+            fresh.sort()
+            todo = [(i, at, k) for i, at, k, low, high in rest if bisect(fresh, high - 1) > bisect(fresh, low - 1)]
+        return sorted(won)
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, int]]:
-        """(start, end, license, differing words) in code points, in order, from the first to the last word that agrees; paragraphs count where none of their lines wins."""
+        """(start, end, license, differing words) in code points, in order, from the first to the last word that agrees."""
         low = (text or "").lower()
         if len(low) != len(text or ""):  # a few letters change their length with their case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -129,25 +171,10 @@ class Scanner:
         for paragraph in re.split(r"(\n[^\S\n]*\n)", text):
             here = low[at : at + len(paragraph)]
             if any(cue in here for cue in CUES):
-                lines = self._lines(paragraph, here, at)
-                if not lines and "\n" in paragraph.strip() and len(paragraph) <= PARAGRAPH and (won := self.judge(paragraph)):
-                    lines = [(at + won[3], at + won[4], *won[:2])]
-                out += lines
+                out += [(at + start, at + end, *rest) for start, end, *rest in self.judge(paragraph)]
             at += len(paragraph)
         return out
 
-    def _lines(self, paragraph: str, low: str, at: int) -> list[tuple[int, int, str, int]]:
-        out, start = [], 0
-        for line in paragraph.split("\n"):
-            pos = start
-            for part in SENTENCE.split(line) if len(line) > 200 else [line]:
-                pos = paragraph.index(part, pos) if part else pos
-                if any(cue in low[pos : pos + len(part)] for cue in CUES) and (won := self.judge(part)):
-                    out.append((at + pos + won[3], at + pos + won[4], *won[:2]))
-                pos += len(part)
-            start += len(line) + 1
-        return out
-
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, findings array<struct<start, end, license, differences>>."""

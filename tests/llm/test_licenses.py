@@ -1,4 +1,4 @@
-from pixelgrove.llm.licenses import Scanner, scan, words
+from pixelgrove.llm.licenses import TEMPLATES, Scanner, scan, words
 
 SCHEMA = "doc_id long, text string, findings string, start string"
 
@@ -36,3 +36,15 @@ def test_rows_nulls_and_empty_table(spark):
     found = scan(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted([(r.doc_id, len(r.findings)) for r in found], key=str) == sorted([(1, 1), (None, 1), (2, 0), (3, 0), (4, 1), (4, 1), (4, 1)], key=str)
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def wrapped(name, must="", width=60):
+    import textwrap
+
+    return "\n".join(" * " + x for x in textwrap.wrap(next(t for n, m, t in TEMPLATES if n == name and must in m), width))
+
+
+def test_a_winning_line_hides_no_wrapped_notice():
+    for name, must in (("BSD", "redistribution"), ("MIT", "free"), ("GPL-3.0", "gnu"), ("ISC", "fee"), ("LGPL-2.1", "lesser")):
+        longest = wrapped(name, must) if name != "GPL-3.0" else "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+        assert names(f"Copyright (c) 2015, Jane Roe. All rights reserved.\n{longest}") == ["Proprietary", name]

@@ -48,3 +48,9 @@ def test_a_winning_line_hides_no_wrapped_notice():
     for name, must in (("BSD", "redistribution"), ("MIT", "free"), ("GPL-3.0", "gnu"), ("ISC", "fee"), ("LGPL-2.1", "lesser")):
         longest = wrapped(name, must) if name != "GPL-3.0" else "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
         assert names(f"Copyright (c) 2015, Jane Roe. All rights reserved.\n{longest}") == ["Proprietary", name]
+
+
+def test_length_of_a_paragraph_changes_nothing():
+    for n in (10, 5000):
+        text = "some line of prose\n" * n + wrapped("BSD", "redistribution") + "\nmore of it" * n
+        assert [(name, d) for *_, name, d in Scanner().scan(text)] == [("BSD", 0)]

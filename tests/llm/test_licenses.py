@@ -54,3 +54,9 @@ def test_length_of_a_paragraph_changes_nothing():
     for n in (10, 5000):
         text = "some line of prose\n" * n + wrapped("BSD", "redistribution") + "\nmore of it" * n
         assert [(name, d) for *_, name, d in Scanner().scan(text)] == [("BSD", 0)]
+
+
+def test_all_notices_of_a_block_are_found():
+    assert names("Code: Licensed under the MIT License. Docs: Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
+    assert names("code licensed under the mit license, docs licensed\nunder cc by 4.0, and both licensed under the mit license") == ["MIT", "CC-BY-4.0", "MIT"]
+    assert names("All rights reserved. " * 500) == ["Proprietary"] * 500

@@ -60,3 +60,15 @@ def test_all_notices_of_a_block_are_found():
     assert names("Code: Licensed under the MIT License. Docs: Licensed under CC BY 4.0.") == ["MIT", "CC-BY-4.0"]
     assert names("code licensed under the mit license, docs licensed\nunder cc by 4.0, and both licensed under the mit license") == ["MIT", "CC-BY-4.0", "MIT"]
     assert names("All rights reserved. " * 500) == ["Proprietary"] * 500
+
+
+def test_short_notices_amid_many_words():
+    import random
+
+    r = random.Random(4)
+    common = sorted({w for _, _, t in TEMPLATES for w in words(t)} - {"reserved", "bsd", "mit", "apache", "2.0"})
+    for notice, name in (("All rights reserved.", "Proprietary"), ("Licensed under the BSD License.", "BSD")):
+        for _ in range(20):
+            before, after = (" ".join(r.choices(common, k=1000)) for _ in range(2))
+            assert name in names(f"{before} {notice} {after}")
+    assert names("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
-Base spans come from three patterns (``BASE``). Further candidates are runs of
-token characters that touch no base span; each is scored by the mean
+Base spans come from three patterns (``BASE``). Further candidates are what the
+base spans leave of runs of token characters; each is scored by the mean
 log-likelihood ratio, per character, of two first-order Markov chains: one of
 random strings and one of ordinary identifiers, both trained from labelled
 samples. Everything is a projection of the row, in DataFrame operations: no
@@ -128,7 +128,16 @@ def with_spans(docs: DataFrame, model: list[float], text_col: str, base: str, ev
     text, other = F.coalesce(F.col(text_col), F.lit("")), unused(docs, "__more")
     rows = docs.withColumn(base, F.sort_array(F.concat(*[_spans(text, pattern, group, least, rank) for rank, (_, pattern, group, least) in enumerate(BASE)])))
     rows = rows.withColumn(other, _spans(text, CANDIDATE, 0, LEAST, len(BASE)))
-    apart = F.filter(other, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(len(BASE)).alias("rank"), end.alias("end"))
+
+    def beside(c):
+        def step(acc, b):
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(span(acc["at"], b["start"]))).alias("out"))
+
+        met = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return F.aggregate(met, F.struct(c["start"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: F.concat(acc["out"], F.array(span(acc["at"], c["end"]))))
+
+    apart = F.filter(F.flatten(F.transform(other, beside)), lambda c: c["end"] - c["start"] >= LEAST)
     rows = rows.withColumn(other, F.when(F.size(other) > 0, apart).otherwise(F.col(other)))
     judged = F.filter(other, lambda c: ratio(F.substring(text, c["start"] + 1, c["end"] - c["start"]), model) >= threshold)
     more = F.when(F.size(other) > 0, judged).otherwise(F.col(other))

@@ -43,16 +43,20 @@ def may_contain(rows: DataFrame, key: Column, bitmaps: DataFrame, bits: int) ->
     return rows.join(held, F.bitmap_bucket_number("__slot") == F.col("__bucket")).where(hit).select(*names)
 
 
-def join_uneven(left: DataFrame, right: DataFrame, key: str, weight: str, least: int = 1000, most_hot: int = 10_000) -> DataFrame:
-    """Left join to unique keys of ``right`` whose column ``weight`` tells how many rows of ``left`` they have.
+def join_uneven(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, least: int = 1000, most_hot: int = 10_000, how: str = "left") -> DataFrame:
+    """Left or inner join to unique keys of ``right`` whose column ``weight`` tells how many rows of ``left`` they have.
 
     Keys with more than ``least`` rows, and more than one in ``most_hot`` of all,
     are joined by a broadcast where the rows lie: there are at most ``most_hot``
     of them. So no task of the shuffled rest gets a key with a large share.
+    ``right`` is read several times, so it is best a written table.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    keys = [key] if isinstance(key, str) else key
+    total, largest = right.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
     bound = max(least, total // most_hot)
+    if largest <= bound:
+        return left.join(right, keys, how)
     hot = right.where(F.col(weight) > bound)
-    spread = left.join(F.broadcast(hot), key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(weight) <= bound), key, "left")
+    spread = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) <= bound), keys, how)
     return spread.unionByName(rest.select(*spread.columns))

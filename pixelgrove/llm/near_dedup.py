@@ -6,25 +6,23 @@
 2. Forest. Each tree sorts the classes by their signature. Neighbours in that
    order whose longest common prefix has at least DEPTH values are candidates;
    so each run of classes with a common prefix is a region. In a region of up
-   to WINDOW + 1 classes all meet. In a larger one each class meets the NEAR
-   before it in the order, that is, those of the deepest common prefixes. A
-   region of more than ``region_rows`` classes is cut at twice the depth and,
-   where that does not part it, into salted chunks, whose classes also meet the
+   to WINDOW + 1 classes all meet. A larger one is divided at the next value,
+   and its parts again, until a part is that small or the values are used up;
+   besides, each class of it meets the NEAR before it in the order. A region of
+   more than ``region_rows`` classes is first cut at twice the depth and, where
+   that does not part it, into salted chunks, whose classes also meet the
    smallest class of the region.
-3. Votes. A pair goes on if two trees found it, or if it comes from a large
-   region and agrees in most values below the region's prefix.
-4. Verification on full sets, in two rounds. First each class meets its best
-   candidate of smaller number, which joins groups by a tree of links; then all
-   further pairs whose ends are still in different components. A pair inside a
-   component can't change the result.
-5. Closing. In every region of more than WINDOW + 1 classes, in all trees, the
-   classes outside its largest component meet all others of the region, so that
-   NEAR and the salts cost no link.
-6. Components by alternating large and small stars.
-
-For similarity J, a tree finds a pair with a probability of J**DEPTH; with 20
-trees and depth 4, two find it with 1 - 9e-6 at J = 0.85, 1 - 4e-4 at J = 0.8.
-One is enough where the pair's region is closed.
+3. Verification on full sets of every pair that any tree found, in two rounds.
+   First each class meets its best candidate of smaller number, which joins
+   groups by a tree of links; then all further pairs whose ends are still in
+   different components. A pair inside a component can't change the result.
+4. Closing. In the regions of more than WINDOW + 1 classes that lie in several
+   components an exact join finds all further links, see ``close_regions``. So
+   dividing, NEAR and the salts cost no link.
+5. Components by alternating large and small stars.
+
+For similarity J, a tree finds a pair with a probability of J**DEPTH, so all 20
+miss it with 4e-7 at J = 0.85 and 3e-5 at J = 0.8.
 Nothing of the size of the input is collected or broadcast; texts travel only
 for classes with candidates.
 
@@ -49,7 +47,7 @@ from pixelgrove.llm.common import join_uneven, key_filter, may_contain, stage, u
 from pixelgrove.llm.words import WordHashes
 
 TREES, DEPTH, WINDOW, NEAR, REGION_ROWS = 20, 4, 24, 4, 5000
-#: Classes of a region that meet in one group at the closing.
+#: Entries of a shingle that meet in one group at the closing.
 CHUNK = 2000
 FILTER_BITS = 1 << 25
 _RANDOM = np.random.default_rng(20240229)
@@ -110,81 +108,95 @@ def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, signature binary")
 
 
-def forest(classes: DataFrame, region_rows: int) -> DataFrame:
-    """Rows (tree, k1, k2, cut, pivot, node) of every tree; cut tells the parts of a large region apart."""
+def trees(classes: DataFrame) -> DataFrame:
+    """Rows (tree, k1, k2, node): the two levels of each tree's signature."""
     span = 2 * DEPTH  # bytes of one level
     keys = F.array(*[F.struct(F.substring("signature", 1 + 2 * span * t, span).alias("k1"), F.substring("signature", 1 + 2 * span * t + span, span).alias("k2")) for t in range(TREES)])
-    rows = classes.select("node", F.posexplode(keys).alias("tree", "k")).select("tree", "k.k1", "k.k2", "node")
+    return classes.select("node", F.posexplode(keys).alias("tree", "k")).select("tree", "k.k1", "k.k2", "node")
+
+
+def forest(classes: DataFrame, region_rows: int) -> DataFrame:
+    """Rows (tree, k1, k2, cut, pivot, node) of every tree; cut tells the parts of a large region apart."""
+    rows = trees(classes)
     large = rows.groupBy("tree", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where(F.col("n") > region_rows)
-    deep = rows.join(large.select("tree", "k1"), ["tree", "k1"], "left_semi").groupBy("tree", "k1", "k2").agg(F.count(F.lit(1)).alias("n2")).where(F.col("n2") > region_rows)
-    rows = rows.join(large.drop("n"), ["tree", "k1"], "left").join(deep, ["tree", "k1", "k2"], "left")
+    large = stage(large, "large-regions")
+    if large.isEmpty():
+        return rows.select("tree", "k1", "k2", F.lit(0).cast("long").alias("cut"), F.lit(None).cast("long").alias("pivot"), "node")
+    deep = join_uneven(rows, large, ["tree", "k1"], "n", how="inner").groupBy("tree", "k1", "k2").agg(F.count(F.lit(1)).alias("n2")).where(F.col("n2") > region_rows)
+    rows = join_uneven(rows, large, ["tree", "k1"], "n").drop("n")
+    rows = join_uneven(rows, stage(deep, "deep-regions"), ["tree", "k1", "k2"], "n2")
     salt = F.when(F.col("n2").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("n2") / region_rows))).otherwise(F.lit(0))
     return rows.select("tree", "k1", "k2", F.when(F.col("pivot").isNotNull(), F.xxhash64("k2", salt)).otherwise(F.lit(0)).alias("cut"), "pivot", "node")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a < b, strong) from rows sorted by (tree, k1, cut, k2, node)."""
-    a, b, strong = [], [], []
+def _parts(values: list[bytes], low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the parts with up to WINDOW + 1 classes that a region is divided into; larger ones at the last depth are left out."""
+    if high - low <= WINDOW + 1:
+        yield low, high
+    elif depth < DEPTH:
+        start = low
+        for i in range(low + 1, high + 1):
+            if i == high or values[i][2 * depth : 2 * depth + 2] != values[start][2 * depth : 2 * depth + 2]:
+                yield from _parts(values, start, i, depth + 1)
+                start = i
+
 
-    def meet(x: tuple, y: tuple, large: bool) -> None:
-        a.append(min(x[0], y[0]))
-        b.append(max(x[0], y[0]))
-        strong.append(large and sum(x[1][i : i + 2] == y[1][i : i + 2] for i in range(0, len(x[1]), 2)) >= DEPTH - 1)
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a < b) from rows sorted by (tree, k1, cut, k2, node); one region, of about ``region_rows`` at most, is held at a time."""
+    a, b, region, pivot, nodes, values = [], [], None, None, [], []
+
+    def meet(x: int, y: int) -> None:
+        a.append(min(x, y))
+        b.append(max(x, y))
+
+    def close() -> None:
+        small = len(nodes) <= WINDOW + 1 and pivot is None
+        for i in range(0 if small else len(nodes)):
+            for j in range(max(0, i - NEAR), i):
+                meet(nodes[j], nodes[i])
+            if pivot is not None and nodes[i] != pivot:
+                meet(pivot, nodes[i])
+        for low, high in _parts(values, 0, len(nodes), 0):
+            for i in range(low, high):
+                for j in range(low, i if small else i - NEAR):
+                    meet(nodes[j], nodes[i])
 
-    region, held, large = None, [], False  # held: the whole region while it is small, then its last NEAR rows
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("tree", "k1", "k2", "cut", "pivot", "node")]
-        for tree, k1, k2, cut, pivot, node in zip(*cols, strict=True):
-            row = (node, k2)
+        for tree, k1, k2, cut, of, node in zip(*[batch.column(c).to_pylist() for c in ("tree", "k1", "k2", "cut", "pivot", "node")], strict=True):
             if (tree, k1, cut) != region:
-                for i in range(len(held) if not large else 0):
-                    for other in held[:i]:
-                        meet(other, held[i], False)
-                region, held, large = (tree, k1, cut), [], pivot is not None
-            if pivot is not None and pivot != node:
-                a.append(min(pivot, node))
-                b.append(max(pivot, node))
-                strong.append(True)
-            if not large and len(held) > WINDOW:
-                large = True
-                for i in range(len(held)):
-                    for other in held[max(0, i - NEAR) : i]:
-                        meet(other, held[i], True)
-                held = held[-NEAR:]
-            if large:
-                for other in held:
-                    meet(other, row, True)
-                held = [*held[1 - NEAR :], row] if len(held) >= NEAR else [*held, row]
-            else:
-                held.append(row)
+                close()
+                region, pivot, nodes, values = (tree, k1, cut), of, [], []
+            nodes.append(node)
+            values.append(k2)
         if len(a) > 50_000:
-            yield _pairs(a, b, strong)
-            a.clear(), b.clear(), strong.clear()
-    for i in range(len(held) if not large else 0):
-        for other in held[:i]:
-            meet(other, held[i], False)
+            yield _pairs(a, b)
+            a.clear(), b.clear()
+    close()
     if a:
-        yield _pairs(a, b, strong)
+        yield _pairs(a, b)
 
 
-def _pairs(a: list, b: list, strong: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(strong, pa.bool_())], ["a", "b", "strong"])
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, votes) that go to verification."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "tree", "k1", "cut").sortWithinPartitions("tree", "k1", "cut", "k2", "node")
-    pairs = dealt.mapInArrow(_neighbours, "a long, b long, strong boolean").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"), F.max("strong").alias("strong")).where("votes > 1 OR strong").drop("strong")
+    return dealt.mapInArrow(_neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets.
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    names: (node, rep) for the id whose text stands for a class. texts: (doc_id, text) of all rows; a text of another
-    class that shares the id is told apart by its digest.
-    """
+
+def verify(pairs: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on full sets."""
     held = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, names)
     left = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -192,90 +204,101 @@ def verify(pairs: DataFrame, texts: DataFrame, names: DataFrame, size: int, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sets = WordHashes(), OrderedDict()
 
-        def found(node: int, text: str) -> np.ndarray | None:
-            key = (node, len(text), hash(text))
-            if key not in sets:
-                s = shingles(text, size, known)
-                sets[key] = s if len(s) and node_of(digest(s)) == node else None
+        def found(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in sets:
+                sets[node] = shingles(text.as_py(), size, known)
                 if len(sets) > 256:
                     sets.popitem(last=False)
-            sets.move_to_end(key)
-            return sets[key]
+            sets.move_to_end(node)
+            return sets[node]
 
         for batch in batches:
-            out = []
-            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                x, y = found(a, ta.as_py()), found(b, tb.as_py())
-                ok = False
-                if x is not None and y is not None and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok = 100 * common >= percent * (len(x) + len(y) - common)
-                out.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
-
-
-def close_crowds(rows: DataFrame, links: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int, least: int = WINDOW + 1) -> DataFrame:
-    """Further links (a, b) in the regions of more than ``least`` classes.
-
-    There a class met only some of the others. Each class outside the region's
-    largest component meets all classes of the region, by chunks of both sides
-    and an inverted index over shingles; of each other component it keeps one
-    link. So all pairs of different components are counted, and links found here
-    leave nothing to repeat.
+            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True)
+            ok = [similar(found(a, ta), found(b, tb), percent) for a, b, ta, tb in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def close_regions(classes: DataFrame, links: DataFrame, texts: DataFrame, names: DataFrame, size: int, percent: int, least: int = WINDOW + 1) -> DataFrame:
+    """All further links (a, b) between classes of regions with more than ``least`` classes in several components.
+
+    An exact join by prefixes. The shingles of all these classes have one order:
+    those that occur in one component only, then by how many classes have them.
+    Similar sets share one of their first shingles in it, as a set that shares
+    none of these has too few others. So a class is entered under its first
+    shingles: the smaller of two similar sets needs less of them ("indexed")
+    than the larger. What a family of texts has in common comes last in the
+    order and is rarely entered. Entries of different components meet if sizes
+    and places leave enough shingles to share, and are verified on their sets.
+
+    Where a shingle has more than CHUNK entries, those outside its largest
+    component meet all others by chunks of both sides. Only hashes travel.
     """
-    held = rows.select("tree", "k1", "node").join(links, "node", "left").select("tree", "k1", "node", F.coalesce("root", "node").alias("root"))
-    counts = held.groupBy("tree", "k1", "root").agg(F.count(F.lit(1)).alias("n"))
-    crowds = counts.groupBy("tree", "k1").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total")).where((F.col("total") > least) & (F.col("total") > F.col("m.n")))
-    crowds = stage(crowds.select("tree", "k1", F.col("m.root").alias("main"), F.ceil(F.col("total") / CHUNK).alias("chunks"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).alias("turns")), "crowds")
-    inside = stage(held.join(crowds, ["tree", "k1"]), "crowded")
-    if inside.isEmpty():
-        return links.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
-    part = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n))
+    rows = trees(classes).select("tree", "k1", "node")
+    none = links.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+    crowds = stage(rows.groupBy("tree", "k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "crowds")
+    if crowds.isEmpty():
+        return none
+    inside = join_uneven(rows, crowds, ["tree", "k1"], "n", how="inner").drop("n").join(links, "node", "left")
+    inside = stage(inside.select("tree", "k1", "node", F.coalesce("root", "node").alias("root")), "crowded")
+    mixed = inside.groupBy("tree", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
+    crowded = stage(join_uneven(inside, stage(mixed, "mixed"), ["tree", "k1"], "n", how="inner").select("node", "root").distinct(), "crowded-classes")
+    if crowded.isEmpty():
+        return none
+    sets = stage(sets_of(texts_of(crowded.select("node"), texts, names).join(crowded, "node"), size), "crowded-sets")
+
+    each = sets.select("node", "root", F.size("found").cast("long").alias("size"), F.explode("found").alias("h"))
+    # a shingle of one component can't be shared by two: it stands first in the order and needs no entry
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", "n")
+    ordered = join_uneven(each, stage(common, "common-shingles"), "h", "n", how="inner").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
+    ordered = ordered.withColumn("before", F.col("size") - F.size("s"))
+    ordered = ordered.withColumns({"probed": F.expr(f"size - ({percent} * size + 99) div 100 + 1"), "indexed": F.expr(f"size - (2 * {percent} * size + {99 + percent}) div {100 + percent} + 1")})
+    ordered = ordered.select("*", F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("probed") - F.col("before")).cast("int"))).alias("j", "e"))
+    entries = stage(ordered.select("e.h", "node", "root", "size", (F.col("before") + F.col("j")).alias("pos"), (F.col("before") + F.col("j") < F.col("indexed")).alias("indexed")), "entries")
+
+    shares = entries.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("indexed"))
+    lists = shares.groupBy("h").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("total"), F.max("indexed").alias("any")).where(F.col("any") & (F.col("total") > F.col("m.n")))
+    lists = stage(lists.select("h", "total", F.col("m.root").alias("main"), F.ceil(F.col("total") / CHUNK).alias("chunks"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).alias("turns")), "lists")
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keys = ["tree", "k1", "chunk", "turn"]
-    # a class is in its own chunk for each turn, and one that asks is in its own turn for each chunk; where these meet it is one row
-    dealt = inside.withColumns({"own": part("chunks"), "own_turn": part("turns"), "outside": F.col("root") != F.col("main")})
-    members = dealt.withColumn("turn", every("turns")).select("tree", "k1", F.col("own").alias("chunk"), "turn", "node", "root", F.lit(True).alias("member"), (F.col("outside") & (F.col("turn") == F.col("own_turn"))).alias("asks"))
-    asking = dealt.where("outside").withColumn("chunk", every("chunks")).where("chunk <> own").select("tree", "k1", "chunk", F.col("own_turn").alias("turn"), "node", "root", F.lit(False).alias("member"), F.lit(True).alias("asks"))
-    with_text = members.unionByName(asking).join(texts_of(inside.select("node").distinct(), texts, names), "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        known, nodes, roots, sets, asks, members = WordHashes(), [], [], [], [], []
-        for node, root, ask, member, text in zip(*[group.column(c).to_pylist() for c in ("node", "root", "asks", "member")], group.column("text"), strict=True):
-            found = shingles(text.as_py(), size, known)
-            if len(found) and node_of(digest(found)) == node:
-                nodes.append(node), roots.append(root), sets.append(found), asks.append(ask), members.append(member)
-        here = [i for i, member in enumerate(members) if member]
-        a, b = [], []
-        if here:
-            flat, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), [len(sets[i]) for i in here])
-            order = np.argsort(flat, kind="stable")
-            flat, owner, length = flat[order], owner[order], np.array([len(sets[i]) for i in here])
-            for i in (i for i, ask in enumerate(asks) if ask):
-                low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-                common = np.bincount(np.concatenate([owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]), minlength=len(here))
-                linked = np.flatnonzero(100 * common >= percent * (len(sets[i]) + length - common))
-                for j in {roots[here[j]]: here[j] for j in linked.tolist() if roots[here[j]] != roots[i]}.values():
-                    a.append(min(nodes[i], nodes[j]))
-                    b.append(max(nodes[i], nodes[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return with_text.select(*keys, "node", "root", "asks", "member", "text").groupBy(*keys).applyInArrow(run, "a long, b long").distinct()
+    dealt = join_uneven(entries, lists, "h", "total", how="inner")
+    columns = ["node", "root", "size", "pos", "indexed"]
+    members = dealt.withColumn("turn", every("turns")).select("h", part("chunks", 3).alias("chunk"), "turn", *columns)
+    asking = dealt.where("root <> main").withColumn("chunk", every("chunks")).select("h", "chunk", part("turns", 5).alias("turn"), *[F.col(c).alias(f"q_{c}") for c in columns])
+    enough = (
+        f"root <> q_root AND ((q_size <= size AND q_indexed) OR (size <= q_size AND indexed)) AND {percent} * greatest(size, q_size) <= 100 * least(size, q_size)"
+        f" AND {100 + percent} * least(size - pos, q_size - q_pos) >= {percent} * (size + q_size)"
+    )
+    met = members.join(asking, ["h", "chunk", "turn"]).where(enough).select(F.least("node", "q_node").alias("a"), F.greatest("node", "q_node").alias("b")).distinct()
+    both = stage(met, "closing-pairs").join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(x.values.to_numpy(), y.values.to_numpy(), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def texts_of(nodes: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(node, text) of the rows with the ids that stand for these classes; texts of other classes may be among them."""
-    used = stage(nodes.join(names, "node").select("node", "rep"), "used-nodes")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = may_contain(texts, F.col("doc_id"), key_filter(used, "rep", FILTER_BITS), FILTER_BITS)
-    near = near.repartition(parts, "doc_id").dropDuplicates(["doc_id", "text"])
-    return near.join(used, F.col("doc_id") == F.col("rep")).select("node", "text")
 
+def sets_of(held: DataFrame, size: int) -> DataFrame:
+    """(node, root, found) from (node, root, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            found = [shingles(text.as_py(), size, known).view("i8") for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(found, pa.list_(pa.int64()))], ["node", "root", "found"])
+
+    return held.select("node", "root", "text").mapInArrow(run, "node long, root long, found array<long>")
 
-def node_of(value: bytes) -> int:
-    return int.from_bytes(value[:8], "big", signed=True)
+
+def texts_of(nodes: DataFrame, texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, text) of the rows, by id and text key, that stand for these classes."""
+    used = stage(nodes.join(names, "node").select("node", "rep", "rep_key"), "used-nodes")
+    near = may_contain(texts, F.xxhash64("doc_id", "text_key"), key_filter(used.select(F.xxhash64("rep", "rep_key").alias("k")), "k", FILTER_BITS), FILTER_BITS)
+    near = near.dropDuplicates(["doc_id", "text_key"])
+    return near.join(used, (F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("rep_key"))).select("node", "text")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,14 +320,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def with_links(links: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of (node, root) and further links (a, b)."""
+    more = stage(more, "more-links")
+    if more.isEmpty():
+        return links
+    return stage(components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "links")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_rows: int = REGION_ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links of at least ``percent``), kept, text_key."""
     sketched = stage(sketch(docs, shingle, id_col, text_col), "sketches")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    grouped = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
-    classes = stage(grouped.select(node.alias("node"), "rep", "signature", "n"), "classes")
-    names = classes.select("node", "rep")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    grouped = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+    # numbers of the classes: unique, and fixed once they are written
+    classes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "signature", "n"), "classes")
+    names = classes.select("node", "rep", "rep_key")
 
     pairs = stage(candidates(forest(classes, region_rows)), "pairs")
     # ties by a hash, so no class is the partner of most
@@ -318,16 +349,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         .join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti")
         .select("a", "b")
     )
-    more = verify(stage(open_pairs, "open-pairs"), texts, names, shingle, percent)
-    as_edges = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = stage(components(as_edges(links).unionByName(more)), "links")
-    more = close_crowds(forest(classes, region_rows), links, texts, names, shingle, percent, min(WINDOW + 1, region_rows))
-    links = components(as_edges(links).unionByName(more))
-    named = links.join(names, "node")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "root").select("node", "component_id")
-    by_node = classes.select("node", "rep", "n").join(of_class, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), "n")
-    out = join_uneven(sketched.select("doc_id", "text_key", "n_shingles", node.alias("node")), stage(by_node, "components"), "node", "n")
+    open_pairs = stage(open_pairs, "open-pairs")
+    if not open_pairs.isEmpty():
+        links = with_links(links, verify(open_pairs, texts, names, shingle, percent))
+    links = with_links(links, close_regions(classes, links, texts, names, shingle, percent, min(WINDOW + 1, region_rows)))
+    named = stage(links.join(names.select("node", "rep"), "node"), "named")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = join_uneven(named, stage(smallest, "smallest"), "root", "n").select("node", "component_id")
+    by_class = classes.select("node", "digest", "rep", "n").join(of_class, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), "n")
+    out = join_uneven(sketched.select("doc_id", "text_key", "n_shingles", "digest"), stage(by_class, "components"), "digest", "n")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -8,7 +8,10 @@ samples. Everything is a projection of the row, in DataFrame operations: no
 shuffle, no Python.
 
 Positions are code points, ends exclusive. They are found by splitting a text
-at the matches of a pattern: the lengths of gaps and matches add up.
+at the matches of a pattern: the lengths of gaps and matches add up. Sums run in
+blocks (``running``) and parts of a text are cut from pieces of PIECE
+characters (``part``), so a text with very many matches costs little more than
+its length.
 
 Cases: null text is the empty text and has no spans; a null doc_id is carried
 as null; repeated rows are scanned each; an empty table gives no rows; other
@@ -17,6 +20,7 @@ columns are carried along by ``redact`` and ignored by ``scan``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,6 +40,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Mean log-likelihood ratio a character from which a candidate is a secret.
 THRESHOLD = 0.7
 SAMPLES = 4000
+#: Characters of a piece that parts of a text are cut from.
+PIECE = 1024
 #: Parts of ordinary identifiers for the labelled samples.
 WORDS = (
     "account action address after agent amount answer application archive array attention author background balance battery between buffer button "
@@ -96,31 +102,89 @@ def train(samples: DataFrame, smoothing: float = 0.2) -> list[float]:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though a lambda in it may use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of longs, by blocks of about the root of its length."""
+    none = F.array().cast("array<bigint>")
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"] + x)).alias("out"))
+
+    def shift(acc: Column, done: Column) -> Column:
+        return F.struct((acc["s"] + done["s"]).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
+
+    start, zero = F.struct(F.lit(0).cast("long").alias("s"), none.alias("out")), F.lit(0)
+
+    def sums(v: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        firsts = F.sequence(zero, F.greatest(F.size(v) - 1, zero), size)
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(v, i + 1, size), start, add))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, F.aggregate(b, start, shift, lambda acc: acc["out"]), lambda done, before: F.transform(done["out"], lambda x: x + before))))
+
+    return let(values, sums)
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part(cut: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of the text with these pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(F.greatest(end - 1, F.lit(0)) / PIECE).cast("int")
+    return F.substring(F.array_join(F.slice(cut, first + 1, F.greatest(last - first + 1, F.lit(0))), ""), (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))
+
+
 def ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio a character."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
-    codes = _codes(token)
-    steps = F.transform(codes, lambda c, i: F.get(table, (F.coalesce(F.get(codes, i - 1), F.lit(0)) * (len(ALPHABET) + 1) + c).cast("int")))
-    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.length(token)
+    size = len(ALPHABET) + 1
+
+    def total(codes: Column) -> Column:
+        steps = F.transform(codes, lambda c, i: F.get(table, (F.coalesce(F.get(codes, i - 1), F.lit(0)) * size + c).cast("int")))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.size(codes)
+
+    return let(_codes(token), total)
 
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _span(start: Column, rank: int, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"))
+
+
 def _spans(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
     """Spans of the matches whose group has the least length, in order."""
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(part, i)).alias("part")))
-    none = F.array().cast(SPAN)
+    kept = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    lengths = lambda texts: F.transform(texts, lambda t: F.length(t).cast("long"))
+    found = F.struct(lengths(gaps).alias("gaps"), lengths(whole).alias("sizes"), lengths(kept).alias("kept"))
+
+    def placed(m: Column) -> Column:
+        ends = running(F.transform(m["sizes"], lambda size, i: F.get(m["gaps"], i) + size))
+        spans = F.zip_with(F.arrays_zip(m["sizes"], m["kept"]), ends, lambda x, end: F.struct(_span(end - x["sizes"], rank, end).alias("span"), (x["kept"] >= least).alias("ok")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: x["span"])
+
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array().cast(SPAN))
+
+
+def _events(spans: Column, weight: int) -> Column:
+    """A step up at each start and down at each end."""
+    step = lambda name, by: F.transform(spans, lambda s: F.struct(s[name].alias("at"), F.lit(by).cast("long").alias("by")))
+    return F.concat(step("start", weight), step("end", -weight))
 
-    def step(acc, m):
-        start = acc["at"] + m["gap"]
-        end = start + m["size"]
-        return F.struct(end.alias("at"), F.when(m["part"] >= least, F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def _swept(events: Column) -> Column:
+    """(at, by, sum so far, next at) of the events in order; where they tie, ends come first."""
+
+    def sums(e: Column) -> Column:
+        return let(running(F.transform(e, lambda x: x["by"])), lambda s: F.transform(e, lambda x, i: F.struct(x["at"].alias("at"), x["by"].alias("by"), F.get(s, i).alias("sum"), F.get(e, i + 1)["at"].alias("next"))))
+
+    return let(F.sort_array(events), sums)
 
 
 def with_spans(docs: DataFrame, model: list[float], text_col: str, base: str, every: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -128,18 +192,10 @@ def with_spans(docs: DataFrame, model: list[float], text_col: str, base: str, ev
     text, other = F.coalesce(F.col(text_col), F.lit("")), unused(docs, "__more")
     rows = docs.withColumn(base, F.sort_array(F.concat(*[_spans(text, pattern, group, least, rank) for rank, (_, pattern, group, least) in enumerate(BASE)])))
     rows = rows.withColumn(other, _spans(text, CANDIDATE, 0, LEAST, len(BASE)))
-    span = lambda start, end: F.struct(start.alias("start"), F.lit(len(BASE)).alias("rank"), end.alias("end"))
-
-    def beside(c):
-        def step(acc, b):
-            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(span(acc["at"], b["start"]))).alias("out"))
-
-        met = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.aggregate(met, F.struct(c["start"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: F.concat(acc["out"], F.array(span(acc["at"], c["end"]))))
-
-    apart = F.filter(F.flatten(F.transform(other, beside)), lambda c: c["end"] - c["start"] >= LEAST)
-    rows = rows.withColumn(other, F.when(F.size(other) > 0, apart).otherwise(F.col(other)))
-    judged = F.filter(other, lambda c: ratio(F.substring(text, c["start"] + 1, c["end"] - c["start"]), model) >= threshold)
+    # where the sum is 1, a run is open and no base span: what base spans leave of the runs
+    free = F.filter(_swept(F.concat(_events(F.col(other), 1), _events(F.col(base), 1 << 20))), lambda e: (e["sum"] == 1) & (e["next"] - e["at"] >= LEAST))
+    apart = F.transform(free, lambda e: _span(e["at"], len(BASE), e["next"]))
+    judged = let(pieces(text), lambda cut: F.filter(apart, lambda c: ratio(part(cut, c["start"], c["end"]), model) >= threshold))
     more = F.when(F.size(other) > 0, judged).otherwise(F.col(other))
     return rows.withColumn(every, F.sort_array(F.concat(base, more))).drop(other)
 
@@ -162,9 +218,13 @@ def redact(docs: DataFrame, model: list[float], text_col: str = "text", mask: st
     base, every = unused(docs, "__base"), unused(docs, "__all")
     rows, text = with_spans(docs, model, text_col, base, every, threshold), F.coalesce(F.col(text_col), F.lit(""))
 
-    def step(acc, s):
-        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size(every) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    def masked(cut: Column) -> Column:
+        def joined(bounds: Column) -> Column:
+            before = F.transform(bounds["starts"], lambda s, i: F.concat(part(cut, F.coalesce(F.get(bounds["ends"], i - 1), F.lit(0)), s), F.lit(mask)))
+            return F.concat(F.array_join(before, ""), part(cut, F.element_at(bounds["ends"], -1), F.length(text)))
+
+        at = lambda e, by, total: F.transform(F.filter(e, lambda x: (x["by"] == by) & (x["sum"] == total)), lambda x: x["at"])
+        return let(let(_swept(_events(F.col(every), 1)), lambda e: F.struct(at(e, 1, 1).alias("starts"), at(e, -1, 0).alias("ends"))), joined)
+
+    return rows.withColumn(text_col, F.when(F.size(every) > 0, let(pieces(text), masked)).otherwise(F.col(text_col))).select(*docs.columns)

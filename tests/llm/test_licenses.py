@@ -72,3 +72,35 @@ def test_short_notices_amid_many_words():
             before, after = (" ".join(r.choices(common, k=1000)) for _ in range(2))
             assert name in names(f"{before} {notice} {after}")
     assert names("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+
+
+def test_like_all_templates_on_all_blocks():
+    """Neither the ranking nor the search for must words loses a notice."""
+    import random
+    from difflib import SequenceMatcher
+
+    from pixelgrove.llm.licenses import AGREE, BETWEEN
+
+    def confirmed(template, block):
+        """Whether a run of agreeing words in any window confirms it, by the wording alone."""
+        _, must, ours = template
+        more = int(BETWEEN * len(ours))
+        for low in range(0, max(1, len(block) - len(ours) + 1)):
+            part = block[low : low + len(ours) + more]
+            if not must <= set(part) or len(set(ours) & set(part)) < AGREE * len(set(ours)) / 2:
+                continue
+            same = [m for m in SequenceMatcher(None, ours, part, autojunk=False).get_matching_blocks() if m.size]
+            agreed = {w for m in same for w in ours[m.a : m.a + m.size]}
+            between = sum(b.b - a.b - a.size for a, b in zip(same, same[1:], strict=False))
+            if sum(m.size for m in same) >= AGREE * len(ours) and between <= BETWEEN * len(ours) and must <= agreed:
+                return True
+        return False
+
+    r, scanner = random.Random(6), Scanner()
+    for k in range(60):
+        name, _, ours = scanner.templates[k % len(scanner.templates)]
+        notice = [w for w in ours if r.random() > 0.06]
+        text = r.choices("the of and a to in is that we it was for on as with".split(), k=r.randint(0, 80)) + notice + r.choices("the of and a to in is that we".split(), k=r.randint(0, 80))
+        block, found = words(" ".join(text)), {x[2] for x in scanner.scan(" ".join(text))}
+        want = {t[0] for t in scanner.templates if confirmed(t, block)}
+        assert found <= want and (name in found or name not in want), (name, found, want)

@@ -51,8 +51,17 @@ ENDS_P = BLOCK - frozenset("body html head caption tbody td tfoot th thead tr co
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol menu dl table select".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-VALUES = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
+
+
+def _attribute(group: str) -> str:
+    """Pattern of an attribute by the rules of the standard: quotes count only as the first character of a value."""
+    return rf"{group}=?[^\s/>=]+|=)(?:\s*=\s*(?:\"{group}[^\"]*)(?:\"|\Z)|'{group}[^']*)(?:'|\Z)|{group}[^\s>\"'][^\s>]*))?)?"
+
+
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[\s/]+|{_attribute('(?:')})*+)(?:>|\Z)", re.S)
+ATTRIBUTES = re.compile(_attribute("("), re.S)
+#: Attributes whose words tell what a block is.
+TELLING = frozenset("class id role itemprop aria-label".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 #: Signs of words in class, id and role values: group, words.
@@ -127,8 +136,8 @@ def blocks(page: str | None) -> list[Block]:
                     pop(("p",), frozenset())
                 if tag in SIBLINGS:
                     pop(SIBLINGS[tag], SCOPES)
-                if tag not in VOID and not m[2].endswith("/"):
-                    words = [w.lower() for v in VALUES.finditer(m[2]) for w in PART.findall(v[2] or v[3] or v[4] or "")]
+                if tag not in VOID:
+                    words = [w.lower() for v in ATTRIBUTES.finditer(m[2]) if v[1].lower() in TELLING for w in PART.findall(v[2] or v[3] or v[4] or "")]
                     stack.append((tag, tuple(SIGN[w] for w in words if w in SIGN)))
             else:
                 pop((tag,), frozenset())

@@ -40,6 +40,26 @@ def test_broken_pages(model):
     assert main_text(page("<article><p>cut &am</p><p>&quot;q&quot; &unknown; &amp</p></article>"), model) == "cut &am\n\"q\" &unknown; &"
 
 
+def test_quotes_count_only_where_a_value_begins(model):
+    texts = ["First text of the article here.", "Second text, it's longer than that.", "Third and last text of it."]
+    want = "The title\n" + "\n".join(texts)
+    for tag in ("<p class=foo'>", '<p title=5" class=x>', "<p don't>", "<p a\"b'c>", "<p =\">", "<p title='a > \"b' id=x>", "<p a = 'x'b=\"y\">", "<p data-x=\"it's\">"):
+        assert main_text(page("<article><h1>The title</h1>" + "".join(f"{tag}{t}</p>" for t in texts) + "</article>"), model) == want
+    # a tag that begins in a text ends at its next >, whatever quotes it holds
+    assert main_text(page(f"<article><h1>The title</h1><p>First a<b then it's</p><p>{texts[1]}</p><p>{texts[2]}</p></article>"), model).endswith("\n".join(texts[1:]))
+    assert [b.text for b in blocks("<p>a<!-->b<!---->c<!-- > -- >d--!>e")] == ["abce"]
+
+
+def test_pages_written_by_hand(model):
+    from hand_pages import PAGES
+
+    missing = more = total = 0
+    for html, text in PAGES:
+        found, want = main_text(html, model).split("\n"), text.split("\n")
+        missing, more, total = missing + len(set(want) - set(found)), more + len(set(found) - set(want)), total + len(want)
+    assert missing == 0 and more <= 0.1 * total
+
+
 def test_held_out_made_pages(model):
     right = [labels(found, model) == y for found, y in labelled_pages(100, seed=99)]
     assert np.mean(right) > 0.95

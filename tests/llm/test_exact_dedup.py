@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from pixelgrove.llm.common import join_uneven, key_filter, may_contain
@@ -42,19 +43,42 @@ def test_empty_table(spark):
 
 
 def test_index_merges_run_after_run(spark, tmp_path):
-    index = DigestIndex(spark, f"file://{tmp_path}/index")
+    path = f"file://{tmp_path}/index"
+    index = DigestIndex(spark, path)
     assert index.compact().count() == 0 and index.rows().count() == 0
+    index.flush(spark.createDataFrame([], "digest binary, id long"))
+    assert index.runs == []
     want = {}
-    for start, part in ((0, ["a", "b"]), (10, ["a", "c"]), (20, ["c"])):
-        rows = spark.createDataFrame([(start + i, t) for i, t in enumerate(part)], "id long, text string")
+    for start, part in ((0, ["a", "b"]), (10, ["a", "c"]), (20, ["c"]), (30, ["d"] * 40)):
+        rows = spark.createDataFrame([(start + i, t) for i, t in enumerate(part)], "id long, text string").repartition(12)
         index.flush(rows.select(sha256_digest(F.col("text")).alias("digest"), "id"))
         for i, t in enumerate(part):
             want.setdefault(t, []).append(start + i)
         if start != 10:
             index.compact()
+        index = DigestIndex(spark, path)  # opened again
+    assert len(index.flushed) > 8 and index.fresh == []
     assert sorted((r.smallest, r.largest, r.n) for r in index.compact().collect()) == sorted((min(v), max(v), len(v)) for v in want.values())
-    assert index.lookup([hashlib.sha256(b"a").digest()]).count() == 2
-    assert index.lookup([hashlib.sha256(b"z").digest()]).count() == 0
+    asked = spark.createDataFrame([(t, hashlib.sha256(t.encode()).digest()) for t in "abz"], "t string, digest binary")
+    assert sorted((r.t, r.smallest, r.n) for r in index.lookup(asked).collect()) == [("a", 0, 2), ("b", 1, 1)]
+    assert {r.t for r in index.maybe(asked, "again").collect()} == {"a"}
+    assert index.find([hashlib.sha256(b"a").digest()]).count() == 2 and index.find([hashlib.sha256(b"z").digest()]).count() == 0
+
+
+def test_two_batches_like_one(spark, tmp_path):
+    for keep in ("smallest", "largest"):
+        path = f"file://{tmp_path}/{keep}"
+        first, second = spark.createDataFrame(ROWS[:5], SCHEMA), spark.createDataFrame(ROWS[5:], SCHEMA)
+        assert run(spark, ROWS[:5], keep=keep, path=path) == brute(ROWS[:5], keep)
+        assert run(spark, ROWS[5:], keep=keep, path=path, earlier=first) == brute(ROWS, keep)
+        assert run(spark, [], keep=keep, path=path, earlier=first.unionByName(second)) == brute(ROWS, keep)
+        with pytest.raises(ValueError):
+            run(spark, ROWS[:1], path=path)
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("c", None)], "doc_id string, text string")
+    assert sorted([(r.id, r.keep_id, r.kept) for r in exact_dedup(docs).collect()], key=str) == sorted([("b", "a", False), ("a", "a", True), (None, "a", False), ("c", "c", True)], key=str)
 
 
 def test_rows_that_stay(spark):

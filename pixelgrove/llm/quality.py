@@ -6,7 +6,7 @@ repeated words and lines, ends) and of the lines before and after it. Forward-ba
 each line's marginal; weighted by line lengths they make the bad share of the
 document, and a logistic curve over it the score.
 
-Training reads a bounded sample of labelled rows (``sample_rows``, whole
+Training reads a bounded sample of labelled rows (see ``training``, whole
 texts) in one task. A good document has only good lines. A bad one starts with
 all lines bad; then, in some rounds, those lines that the field itself takes
 for good are taken as good, but for the worst one. The model is some hundred

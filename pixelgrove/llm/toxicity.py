@@ -1,6 +1,6 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Training reads a bounded sample of labelled rows (``sample_rows``, whole
+Training reads a bounded sample of labelled rows (see ``training``, whole
 texts) in one task, in an order that follows from a hash of the ids, and keeps
 per-coordinate learning rates; the L1 term leaves few weights other than zero.
 These are all that is broadcast: at most 2^``bits`` pairs, in practice some

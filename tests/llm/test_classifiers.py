@@ -53,6 +53,49 @@ def test_order_and_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def test_sample_has_one_row_an_id_and_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(3000)] + [(7, None)] + [(i, "abcdefgh" * 4) for i in range(100, 150)] + [(99, "x" * 900)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in [7, 7, 99, *range(100, 150)]], "doc_id long, toxic int")
+    every = labelled_rows(docs, labels, "toxic", F.lit(True), 1000).collect()
+    assert sorted(r.doc_id for r in every) == [7, 99, *range(100, 150)]
+    assert every[0].label == 1 and {r.text for r in labelled_rows(docs.repartition(2), labels, "toxic", F.lit(True), 1000).collect()} == {r.text for r in every}
+    few = labelled_rows(docs, labels, "toxic", F.lit(True), 1000, sample_bytes=640).collect()
+    assert 15 <= len(few) <= 21 and sum(len((r.text or "").encode()) for r in few) <= 640 and 99 not in {r.doc_id for r in few}
+    assert set(map(tuple, few)) <= set(map(tuple, every))
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """Weights and bias by the published update, one coordinate after the other."""
+    from math import copysign, exp, log, sqrt
+
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - copysign(l1, z[i])) / ((beta + sqrt(n[i])) / alpha + l2)
+    rate = sum(y for _, y in rows) / len(rows)
+    bias, squares = log(rate / (1 - rate)), 1.0
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + exp(-(bias + sum(w.values())))) - y
+            for i in x:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (sqrt(n[i]) - sqrt(before)) / alpha * w[i]
+            squares += g * g
+            bias -= 0.3 * g / sqrt(squares)
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_ftrl_like_a_plain_version():
+    r = random.Random(5)
+    rows = [(sorted(r.sample(range(60), 8)), 0) for _ in range(300)]
+    rows = [(x, int(r.random() < (0.9 if 3 in x or 11 in x else 0.1))) for x, _ in rows]
+    settings = {"epochs": 3, "alpha": 0.5, "beta": 1.0, "l1": 1.5, "l2": 0.1}
+    want, bias = plain_ftrl(rows, **settings)
+    numbers, weights, found = toxicity.fit([(np.array(x), y) for x, y in rows], bits=6, **settings)
+    assert 2 <= len(want) < 60 and abs(found - bias) < 1e-9
+    assert sorted(want) == numbers.tolist() and np.allclose([want[i] for i in numbers.tolist()], weights, atol=1e-5)
+
+
 def test_sample_is_bounded_and_odd_labels_are_ignored(spark):
     docs, labels = frames(spark, made(100))
     assert labelled_rows(docs, labels, "toxic", F.lit(True), 10).count() == 10

@@ -17,9 +17,14 @@ def image_id(content: Column) -> Column:
 
 
 def gate(arrivals: DataFrame, store: DataFrame, content: str = "content", order: str = "image_id") -> DataFrame:
-    """Arrivals whose content is neither in the store nor in an earlier arrival, with content_hash."""
+    """Arrivals whose content is neither in the store nor in an earlier arrival, with content_hash.
+
+    The store's hashes are its column content_hash, or made of its content where
+    it has no such column. Of the store only the hashes that arrive are shuffled.
+    """
     hashed = arrivals.withColumn("content_hash", content_hash(F.col(content)))
-    known = store.select(content_hash(F.col(content)).alias("content_hash")).distinct()
+    known = store.select("content_hash") if "content_hash" in store.columns else store.select(content_hash(F.col(content)).alias("content_hash"))
+    known = known.join(hashed.select("content_hash").distinct(), "content_hash", "left_semi").distinct()
     first = hashed.groupBy("content_hash").agg(F.min(order).alias("__first"))
     return hashed.join(known, "content_hash", "left_anti").join(first, "content_hash").where(F.col(order) == F.col("__first")).drop("__first")
 
@@ -34,8 +39,8 @@ def batch(images: DataFrame, store: DataFrame, content: str = "content", near: f
 
     images: image_id, ``content``, embedding, detections (array of structs with
     class_id and more), texts, and if there are any faces and face_embeddings.
-    Hash and size are kept for each new image, so that a later batch finds its
-    duplicates. near: threshold of near-duplicate groups; their patches
+    Hash and size are kept for each new image, so that a later batch, whose
+    ``store`` is the collection "global", finds its duplicates. near: threshold of near-duplicate groups; their patches
     against ``store`` with the new images come as "groups". centroids: new
     images get their cluster at once.
     """
@@ -59,6 +64,16 @@ def batch(images: DataFrame, store: DataFrame, content: str = "content", near: f
     return out
 
 
+def collected(out: dict[str, DataFrame]) -> DataFrame:
+    """(collection, id) of all rows that ``batch`` adds."""
+    keys = {"global": "image_id", "vehicles": "detection_id", "people": "detection_id", "ocr": "ocr_id", "faces": "face_id"}
+    parts = [out[name].select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("id")) for name, key in keys.items() if name in out]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def nth_vehicle_missing(detections: DataFrame, n: int) -> DataFrame:
     """Images that have no n-th (from 0) vehicle, with how many they have."""
     from pixelgrove.operators.detections import route

@@ -20,7 +20,10 @@ def read(spark: SparkSession, path: str, schema: str, files: int = FILES_PER_TRI
 def ingest(stream: DataFrame, collection: Collection, checkpoint: str, key: str = "image_id", content: str = "content", after: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Each micro-batch passes the exact-duplicate gate and is upserted by key, so a batch that runs twice changes nothing.
 
-    after: maps (collection with the new rows, the new rows) to patched rows, such as duplicate groups; they are upserted too.
+    Rows of new keys are appended, without reading more of the collection than
+    its keys and hashes; only a key that comes again with other content makes it
+    be written anew. after: maps (collection with the new rows, the new rows) to
+    patched rows, such as duplicate groups; they are upserted too.
     """
 
     def one(batch: DataFrame, _: int) -> None:
@@ -29,12 +32,20 @@ def ingest(stream: DataFrame, collection: Collection, checkpoint: str, key: str
             if collection.exists():
                 old = collection.read()
                 # rows of a batch that is repeated are known by key and content; the gate must not see their own former copies
-                others = old.join(batch.select(key), key, "left_anti")
-                fresh = gate(batch, others, content, key)
-                new = upsert(old, fresh, key)
+                others = old.select(key, "content_hash").join(batch.select(key), key, "left_anti")
+                fresh = gate(batch, others, content, key).persist()
+                same = fresh.join(old.select(key, F.col("content_hash").alias("__old")), key)
+                changed, known = not same.where(F.col("__old") != F.col("content_hash")).isEmpty(), same.select(key)
+                added = fresh.join(known, key, "left_anti")
+                if changed or after:
+                    new = upsert(old, fresh, key)
+                    collection.write(upsert(new, after(new, fresh), key) if after else new)
+                elif not added.isEmpty():
+                    collection.append(added)
+                fresh.unpersist()
             else:
-                fresh = new = gate(batch, batch.limit(0), content, key)
-            collection.write(upsert(new, after(new, fresh), key) if after else new)
+                fresh = gate(batch, batch.limit(0), content, key)
+                collection.write(upsert(fresh, after(fresh, fresh), key) if after else fresh)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -40,7 +40,7 @@ def identify(faces: DataFrame, queries: DataFrame, k: int = 5, threshold: float
     """(query_id, n_matches, best_person_id, is_identified): the best match's person, if any reaches the threshold and has one."""
     found = top_k(faces, queries, k, id_col, min_score=threshold, **settings).join(faces.select(F.col(id_col).alias("id"), "person_id"), "id")
     best = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min_by("person_id", "rank").alias("best_person_id"))
-    asked = queries.select(F.col(settings.get("query_id", "query_id")).cast("long").alias("query_id")).distinct()
+    asked = queries.select(F.col(settings.get("query_id", "query_id")).alias("query_id")).distinct()
     return asked.join(best, "query_id", "left").select("query_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "best_person_id", F.col("best_person_id").isNotNull().alias("is_identified"))
 
 

@@ -34,8 +34,8 @@ def tokens(text: Column) -> Column:
 
 def grams(token: Column, low: int = LEAST_GRAM, high: int = MOST_GRAM) -> Column:
     """All n-grams of a token; shorter tokens have none, and a longer token is not kept whole."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1)))
-    one = lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.length(token)), lambda i: F.substring(token, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    one = lambda n: F.when(F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda i: F.substring(token, i, F.lit(n)))).otherwise(none)
     return F.concat(*[one(n) for n in range(low, high + 1)])
 
 

@@ -31,6 +31,11 @@ def route_counts(detections: DataFrame) -> DataFrame:
     return detections.groupBy(route(F.col("class_id")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def confident(detections: DataFrame, least: float, inclusive: bool = False, score: str = "score") -> DataFrame:
+    """Detections above a score, or with ``inclusive`` at it as well."""
+    return detections.where(F.col(score) >= least if inclusive else F.col(score) > least)
+
+
 def trimmed(boxes: Column, count: Column) -> Column:
     """The first ``count`` entries of a padded array."""
     return F.slice(boxes, 1, F.greatest(count.cast("int"), F.lit(0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pixelgrove.functions.texts import LEAST_GRAM, MOST_GRAM, grams, tokens
 
@@ -55,10 +55,7 @@ def search(lines: DataFrame, query: str, k: int = 10, min_score: float = 0.0, qu
     not leave their word and terms have no separators. So lines are projected
     twice, for the totals and for the scores, and nothing is exploded or joined.
     """
-    spark = lines.sparkSession
-    asked = tokens(F.lit(query))
-    asked = F.flatten(F.transform(asked, lambda t: grams(t))) if query_grams else F.filter(asked, lambda t: F.length(t).between(LEAST_GRAM, MOST_GRAM))
-    terms = sorted(set(spark.range(1).select(asked.alias("t")).first().t))  # as many as the query has
+    terms = query_terms(lines.sparkSession, query, query_grams)
     if not terms:
         return lines.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
     low = F.lower(F.col(text_col))
@@ -74,10 +71,55 @@ def search(lines: DataFrame, query: str, k: int = 10, min_score: float = 0.0, qu
         weight = weight + idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("len") / (total.mean or 1.0)))
     score = weight * F.when(F.contains("low", F.lit(query.lower())), 1 + PHRASE).otherwise(F.lit(1.0))
     out = rows.select("id", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
-    best = out.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+    return _best(out, k)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    best = scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).cast("long"))
 
 
+def query_terms(spark: SparkSession, query: str, query_grams: bool = False) -> list[str]:
+    """The terms a query is searched by."""
+    asked = tokens(F.lit(query))
+    asked = F.flatten(F.transform(asked, lambda t: grams(t))) if query_grams else F.filter(asked, lambda t: F.length(t).between(LEAST_GRAM, MOST_GRAM))
+    return sorted(set(spark.range(1).select(asked.alias("t")).first().t))  # as many as the query has
+
+
+def postings(lines: DataFrame, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
+    """(term, id, tf, len): how often a line has each of its n-grams, in the order of terms.
+
+    Stored in this order, a search reads the few row groups of its terms.
+    """
+    text = F.col(text_col)
+    words = lines.select(F.col(id_col).alias("id"), gram_count(text).alias("len"), F.explode(tokens(text)).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("c"), F.max("len").alias("len"))
+    # each distinct word is cut once
+    cut = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("term")).groupBy("word", "term").agg(F.count(F.lit(1)).alias("m"))
+    rows = words.join(cut, "word").groupBy("term", "id").agg(F.sum(F.col("c") * F.col("m")).alias("tf"), F.max("len").alias("len"))
+    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def index_totals(lines: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row that goes with the postings: docs and mean, the number of lines and their mean length in n-grams."""
+    return lines.agg(F.count(F.lit(1)).alias("docs"), F.avg(gram_count(F.col(text_col))).alias("mean"))
+
+
+def search_index(index: DataFrame, totals: DataFrame, lines: DataFrame, query: str, k: int = 10, min_score: float = 0.0, query_grams: bool = False, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
+    """The result of ``search`` from stored postings; of ``lines`` only those with all terms are read, for the phrase."""
+    terms, total = query_terms(lines.sparkSession, query, query_grams), totals.first()
+    if not terms:
+        return lines.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
+    hits = index.where(F.col("term").isin(terms))
+    known = {r.term: r.n for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    idf = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(log(1 + (total.docs - known.get(t, 0) + 0.5) / (known.get(t, 0) + 0.5))))])
+    weight = F.element_at(idf, F.col("term")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (total.mean or 1.0)))
+    scored = hits.groupBy("id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n"))
+    # a line with the phrase has all its terms
+    phrase = scored.where(F.col("n") == len(terms)).select("id").join(lines.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id").where(F.contains(F.lower("t"), F.lit(query.lower()))).select("id", F.lit(1 + PHRASE).alias("more"))
+    out = scored.join(phrase, "id", "left").select("id", (F.col("score") * F.coalesce("more", F.lit(1.0))).alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
+    return _best(out, k)
+
+
 def reading_order(boxes: DataFrame, gap: float = 10.0, image: str = "image_id", id_col: str = "box_id") -> DataFrame:
     """Adds line and place: by y, a gap of at least ``gap`` to the box before starts a line; inside a line by x."""
     by_y = Window.partitionBy(image).orderBy("y", id_col)

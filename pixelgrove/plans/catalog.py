@@ -150,8 +150,44 @@ def l2_normalize(spark, sf):
     return fx.global_docs(spark, sf).select("id", F.posexplode(vx.unit(F.col("embedding"))).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), r6(F.col("x")).alias("x"))
 
 
+@query("gunit", f"WITH {PAIR} SELECT 'img-' || lpad(hex(qid), 8, '0') AS query_id, 'img-' || lpad(hex(id), 8, '0') AS id, round((1 + cos) / 2, 6) + 0.0 AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS r FROM p WHERE id <> qid AND qid % 50 = 0) WHERE r <= 5")
+def knn_string_ids(spark, sf):
+    """A search whose ids are strings, as ingest makes them."""
+    name = F.concat(F.lit("img-"), F.lpad(F.hex("id"), 8, "0"))
+    docs = fx.global_docs(spark, sf).select(name.alias("id"), "embedding", (F.col("id") % 50 == 0).alias("asks"))
+    asked = docs.where("asks").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return se.top_k(docs, asked, 5, exclude_self=True).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query("gunit", f"""WITH {PAIR} SELECT qid // 10 AS image_id, id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS r FROM p WHERE qid % 10 = 0) WHERE r <= 10 AND (1 + cos) / 2 >= 0.55 AND qid % 50 = 0""")
+def knn_nth_face(spark, sf):
+    """The first face of each fifth image of ten, searched among all faces with a least score."""
+    found = fx.faces(spark, sf).select(F.floor(F.col("face_id") / 10).alias("image_id"), "face_id", "embedding")
+    asked = se.nth_object(found, F.col("image_id") % 5 == 0, 0, "image_id", "face_id").select(F.col("image_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return se.top_k(fx.faces(spark, sf), asked, 10, "face_id", min_score=0.55).select(F.col("query_id").alias("image_id"), "id", "rank")
+
+
+@query("gunit", f"WITH {PAIR} SELECT qid AS query_id, id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS r FROM p WHERE qid % 50 = 0) WHERE r <= 3")
+def search_by_text(spark, sf):
+    """Queries are texts that the hook for models turns into vectors; here a made model that reads the vector from the text."""
+    from pixelgrove.operators.ingest import embed
+
+    def model(frames):
+        for f in frames:
+            vectors = [[float(x) for x in t.split(" ")] for t in f["text"]]
+            yield f[["query_id"]].assign(query_embedding=vectors)
+
+    texts = fx.global_docs(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ").alias("text"))
+    asked = embed(texts, model, "query_id long, query_embedding array<float>")
+    return se.top_k(fx.global_docs(spark, sf), asked, 3).select("query_id", "id", "rank")
+
+
 # ---- clustering ----------------------------------------------------------
 
+#: Clusters of ten that the measured approximate search reads.
+ANN_PROBES = 9
+
+
 
 def _assigned(spark, sf) -> DataFrame:
     return cl.assign(fx.global_docs(spark, sf), fx.centroids0(spark, sf))
@@ -171,11 +207,75 @@ def cluster_probe(spark, sf):
 @query("asg", """WITH q AS (SELECT id, u FROM gunit ORDER BY id LIMIT 1), pr AS (SELECT cluster_id FROM (SELECT c.cluster_id, row_number() OVER (ORDER BY list_inner_product(q.u, c.c) DESC, c.cluster_id) AS r FROM q CROSS JOIN cent c) WHERE r <= 3)
 SELECT id, round((1 + cos) / 2, 6) + 0.0 AS score, rank FROM (SELECT g.id, list_inner_product(g.u, q.u) AS cos, row_number() OVER (ORDER BY list_inner_product(g.u, q.u) DESC, g.id) AS rank FROM gunit g CROSS JOIN q JOIN asg ON asg.id = g.id WHERE asg.cluster_id IN (SELECT cluster_id FROM pr)) WHERE rank <= 10""")
 def cluster_pruned_knn(spark, sf):
-    """Search in the three nearest clusters only."""
-    docs, cents, q = fx.global_docs(spark, sf), fx.centroids0(spark, sf), fx.first_query(spark, sf)
-    probed = cl.probe(q, cents, 3, "query_id", "query_embedding").select("cluster_id").distinct()
-    near = docs.join(_assigned(spark, sf).select("id", "cluster_id"), "id").join(F.broadcast(probed), "cluster_id", "left_semi")
-    return _ranked(se.top_k(near, q, 10))
+    """Search in the three nearest clusters only, of a collection that is stored by cluster."""
+    cents, q = fx.centroids0(spark, sf), fx.first_query(spark, sf)
+    probed = cl.probe(q, cents, 3, "query_id", "query_embedding")
+    return _ranked(se.pruned_top_k(_by_cluster(spark, sf), q, probed, 10))
+
+
+IVF = """q AS (SELECT id, u FROM gunit WHERE id % 50 = 0), pr AS (SELECT q.id AS query_id, c.cluster_id FROM q CROSS JOIN cent c QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.u, c.c) DESC, c.cluster_id) <= {n}),
+f AS (SELECT q.id AS query_id, g.id, list_inner_product(g.u, q.u) AS cos, row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(g.u, q.u) DESC, g.id) AS rank FROM q JOIN pr ON pr.query_id = q.id JOIN asg ON asg.cluster_id = pr.cluster_id JOIN gunit g ON g.id = asg.id)"""
+
+
+def _by_cluster(spark, sf) -> DataFrame:
+    """The images, written in one folder a cluster."""
+    from pixelgrove.sources.scratch import scratch_path
+    from pixelgrove.sources.store import Collection
+
+    docs, c = fx.global_docs(spark, sf), Collection(spark, scratch_path(spark, "by-cluster"), "global")
+    c.write(docs.join(_assigned(spark, sf).select("id", "cluster_id"), "id"), ["cluster_id"])
+    return c.read()
+
+
+def _ann(spark, sf, probes: int) -> tuple[DataFrame, DataFrame]:
+    q = fx.global_docs(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    probed = cl.probe(q, fx.centroids0(spark, sf), probes, "query_id", "query_embedding")
+    return q, se.pruned_top_k(_by_cluster(spark, sf), q, probed, 5)
+
+
+@query("asg", f"WITH {IVF.format(n=4)} SELECT query_id, id, round((1 + cos) / 2, 6) + 0.0 AS score, rank FROM f WHERE rank <= 5")
+def ann_knn(spark, sf):
+    """Approximate search by clusters: each query reads its four nearest."""
+    return _ann(spark, sf, 4)[1].select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query("asg", f"WITH {IVF.format(n=ANN_PROBES)}, e AS (SELECT q.id AS query_id, g.id FROM q CROSS JOIN gunit g QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(g.u, q.u) DESC, g.id) <= 5) SELECT count(*) AS asked, count(f.id) AS hits, round(count(f.id) / count(*), 6) AS recall FROM e LEFT JOIN f ON f.query_id = e.query_id AND f.id = e.id AND f.rank <= 5")
+def ann_recall(spark, sf):
+    """Recall of the approximate search against the exact one."""
+    q, found = _ann(spark, sf, ANN_PROBES)
+    return se.recall(found, se.top_k(fx.global_docs(spark, sf), q, 5)).withColumn("recall", F.round("recall", 6))
+
+
+@query("gdocs", "SELECT cluster_id, pos, round(x, 6) + 0.0 AS x FROM (SELECT class_id AS cluster_id, unnest(range(len(e))) AS pos, unnest(e) AS x FROM (SELECT class_id, arg_min(embedding, id) AS e FROM gdocs WHERE class_id = 3 GROUP BY 1))")
+def centroid_lookup(spark, sf):
+    """One centroid of a model that was saved and loaded again."""
+    from pixelgrove.sources.scratch import scratch_path
+    from pixelgrove.sources.store import load_model, save_model
+
+    path = scratch_path(spark, "model")
+    save_model(fx.centroids0(spark, sf), path, F.lit("2024-01-01"), F.lit(1))
+    found = cl.centroid(load_model(spark, path)[0], 3)
+    return found.select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", F.col("pos").cast("long").alias("pos"), r6(F.col("x").cast("double")).alias("x"))
+
+
+@query("gdocs", "SELECT id, row_number() OVER (ORDER BY id) - 1 AS cluster_id, 0.0::DOUBLE AS cluster_distance FROM gdocs")
+def fit_backfill(spark, sf):
+    """Training, assignment and back-fill with as many clusters as rows and no rounds: each row is its own cluster."""
+    docs = fx.global_docs(spark, sf)
+    rows = cl.fit(docs, 1024, docs.count(), 0)[1]
+    return rows.select("id", "cluster_id", (F.round("cluster_distance", 6) + F.lit(0.0)).alias("cluster_distance"))
+
+
+@query("asg", "SELECT count(*) AS n, least(least(greatest(greatest(16, floor(sqrt(count(*)))), floor(count(*) / 10)), greatest(greatest(16, floor(sqrt(count(*)))), 1024)), count(*))::BIGINT AS n_clusters, TRUE AS done, FALSE AS done_when_balanced FROM asg")
+def rebalance(spark, sf):
+    """A forced rebalance fits all rows anew; a balanced model is left alone."""
+    docs = fx.global_docs(spark, sf)
+    cents = fx.centroids0(spark, sf)
+    held = cl.backfill(docs, _assigned(spark, sf))
+    new, rows, done = cl.rebalance(held, cents, 1024, 1000, force=True, rounds=1)
+    even = held.withColumn("cluster_id", F.col("class_id").cast("long"))
+    kept = cl.rebalance(even, cents, 1024, 1000)[2]
+    return rows.where("cluster_id IS NOT NULL").agg(F.count(F.lit(1)).alias("n")).crossJoin(new.agg(F.count(F.lit(1)).alias("n_clusters"))).select("n", "n_clusters", F.lit(done).alias("done"), F.lit(kept).alias("done_when_balanced"))
 
 
 @query("asg", """WITH m AS (SELECT cluster_id, pos, avg(x) AS x FROM (SELECT a.cluster_id, unnest(range(len(g.u))) AS pos, unnest(g.u) AS x FROM asg a JOIN gunit g ON g.id = a.id) GROUP BY ALL), n AS (SELECT cluster_id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
@@ -283,11 +383,11 @@ def near_dup_pairs(spark, sf):
     return se.similar_pairs(fx.global_docs_dup(spark, sf), 0.99).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("dupdocs", """WITH s AS (SELECT a.id AS query_id, b.id, (1 + list_inner_product(a.u, b.u)) / 2 AS score FROM dupdocs a JOIN dupdocs b ON a.id <> b.id WHERE a.id < 100)
+@query("dupdocs", """WITH s AS (SELECT a.id AS query_id, b.id, (1 + list_inner_product(a.u, b.u)) / 2 AS score FROM dupdocs a JOIN dupdocs b ON a.id <> b.id WHERE a.id % 50 = 0)
 SELECT query_id, id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 50 AND score >= 0.65""")
 def find_dups(spark, sf):
     docs = fx.global_docs_dup(spark, sf)
-    asked = docs.where("id < 100").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    asked = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return dp.find(docs, asked, 0.65, 50).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -431,6 +531,21 @@ def ocr_confident(spark, sf):
     return ocr.confident(fx.ocr_lines(spark, sf)).select("ocr_id")
 
 
+@query("det", "SELECT image_id, det_id, 'inclusive' AS rule FROM det WHERE score >= 0.5 UNION ALL SELECT image_id, det_id, 'strict' FROM det WHERE score > 0.5")
+def confidence_limits(spark, sf):
+    """The same floor for faces, inclusive, and for objects, strict; some scores are exactly on it."""
+    rows = fx.detections(spark, sf)
+    one = lambda inclusive, name: dt.confident(rows, 0.5, inclusive).select("image_id", "det_id", F.lit(name).alias("rule"))
+    return one(True, "inclusive").unionByName(one(False, "strict"))
+
+
+@query("", "SELECT image_id, pos, round((v - 127.5) / 128, 6) + 0.0 AS x FROM (SELECT vec_id AS image_id, unnest([0, 1]) AS pos, unnest([vec_id % 256, 255 - vec_id % 256]) AS v FROM embeddings)")
+def face_pixels(spark, sf):
+    v = F.col("vec_id") % 256
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.array(v, 255 - v)).alias("pos", "v"))
+    return rows.select("image_id", "pos", r6(bx.face_pixel(F.col("v"))).alias("x"))
+
+
 # ---- faces ---------------------------------------------------------------
 
 
@@ -542,6 +657,16 @@ def ocr_ngram_topk(spark, sf):
     return ocr.search(fx.ocr_lines(spark, sf), "the MIT", 20).select("id", F.round("score", 5).alias("score"), "rank")
 
 
+@query("lines", _text_sql("'the', 'mit'", "the mit"))
+def ocr_index_topk(spark, sf):
+    """The same search from stored postings."""
+    from pixelgrove.sources.scratch import stage
+
+    lines = fx.ocr_lines(spark, sf)
+    index, totals = stage(ocr.postings(lines), "postings"), stage(ocr.index_totals(lines), "totals")
+    return ocr.search_index(index, totals, lines, "the MIT", 20).select("id", F.round("score", 5).alias("score"), "rank")
+
+
 @query("lines", _text_sql("'ap', 'pa', 'ac', 'ch', 'he', 'app', 'pac', 'ach', 'che', 'pach', 'ache', 'pp', 'ppa', 'ppac', 'appa'", "appache"))
 def ocr_fuzzy_topk(spark, sf):
     """N-grams on both sides find a misspelled word."""
@@ -779,9 +904,92 @@ def ratio_alerts(spark, sf):
     return ev.ratio_alerts(tracks, "failed", "total_requests", 0.1).select("track", F.round("ratio", 6).alias("ratio"))
 
 
+@query("lat", "SELECT epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS start, track, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM lat GROUP BY ALL HAVING quantile_cont(latency_ms, 0.95) > 40")
+def latency_alerts(spark, sf):
+    """Days on which the 95th percentile of a track is above a limit."""
+    found = ev.latency_alerts(fx.latencies(spark, sf), "latency_ms", 40.0, "1 day")
+    return found.select(F.unix_timestamp("start").alias("start"), "track", F.round("p95", 6).alias("p95"))
+
+
 # ---- store ---------------------------------------------------------------
 
 
+def _collection(spark, name: str):
+    from pixelgrove.sources.scratch import scratch_path
+    from pixelgrove.sources.store import Collection
+
+    return Collection(spark, scratch_path(spark, "collections"), name)
+
+
+@query("", "SELECT doc_id FROM documents")
+def directory_scan(spark, sf):
+    """Files below a folder by their endings; those of another are left out."""
+    from pixelgrove.sources.scratch import scratch_path
+    from pixelgrove.sources.store import image_files
+
+    path = scratch_path(spark, "files")
+    ids = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("value"))
+    ids.write.text(f"{path}/in/some")
+    ids.write.csv(f"{path}/in/others")
+    found = image_files(spark, path, endings=("txt",))
+    return found.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("doc_id")).where("doc_id <> ''").select(F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@query("gdocs", "SELECT id, class_id, CASE WHEN id IN (0, 100, 200) THEN 'point' WHEN id % 3 = 0 THEN 'missing' ELSE 'scan' END AS found FROM gdocs")
+def collection_reads(spark, sf):
+    """A full scan, a scan of the rows without a class, point reads, all without the vectors; written in two versions."""
+    c, docs = _collection(spark, "global"), fx.global_docs(spark, sf)
+    rows = docs.withColumn("class", F.when(F.col("id") % 3 != 0, F.col("class_id")))
+    c.write(rows.where("id % 2 = 0"))
+    c.append(rows.where("id % 2 = 1"))
+    columns, points = ["id", "class_id"], (0, 100, 200)
+    others = ~F.col("id").isin(*points)
+    out = c.scan(columns, missing="class").where(others).withColumn("found", F.lit("missing"))
+    out = out.unionByName(c.scan(columns).where(others & (F.col("id") % 3 != 0)).withColumn("found", F.lit("scan")))
+    for i in points:
+        out = out.unionByName(c.get("id", i, columns).withColumn("found", F.lit("point")))
+    return out
+
+
+@query("", "SELECT * FROM (VALUES (1, FALSE, 0), (2, TRUE, 0), (3, TRUE, 7), (4, TRUE, 7), (5, TRUE, 0), (6, FALSE, 0)) t(step, there, n)")
+def collection_lifecycle(spark, sf):
+    """Create, write, create again, create anew by force, drop."""
+    c, seen = _collection(spark, "faces"), []
+
+    def note() -> None:
+        seen.append((len(seen) + 1, c.exists(), c.read().count() if c.exists() else 0))
+
+    note()
+    c.create("id long")
+    note()
+    c.write(spark.range(7))
+    note()
+    c.create("id long")
+    note()
+    c.create("id long", force=True)
+    note()
+    c.drop()
+    note()
+    return spark.createDataFrame(seen, "step int, there boolean, n int")
+
+
+@query("lat", f"WITH {TRACKS} SELECT track, round(rps, 6) AS throughput_rps FROM tr")
+def benchmark_files(spark, sf):
+    """Results by track from JSON files, the first of each; tracks of one level (with an @) are left out. Then as CSV and back."""
+    from pixelgrove.sources.scratch import scratch_path
+    from pixelgrove.sources.store import benchmark_results, export_csv
+
+    path, tracks = scratch_path(spark, "bench"), _tracks(spark, sf).select("track", "throughput_rps")
+    tracks.write.json(f"{path}/in/a")
+    tracks.select(F.concat("track", F.lit("@16")).alias("track"), "throughput_rps").write.json(f"{path}/in/b")
+    tracks.select("track", (F.col("throughput_rps") + 1).alias("throughput_rps")).write.json(f"{path}/in/c")
+    found = benchmark_results(spark, f"{path}/in/*", multi_line=False)
+    export_csv(found.select("track", "throughput_rps"), f"{path}/csv")
+    return spark.read.option("header", "true").csv(f"{path}/csv").select("track", F.round(F.col("throughput_rps").cast("double"), 6).alias("throughput_rps"))
+
+
+
+
 @query("gdocs", "SELECT id, CASE WHEN id % 4 = 0 THEN -1 ELSE class_id END AS class_id FROM gdocs UNION ALL SELECT id + 500000, -2 FROM gdocs WHERE id % 100 = 0")
 def store_upsert(spark, sf):
     from pixelgrove.sources.store import upsert
@@ -862,3 +1070,32 @@ def ingest_batch(spark, sf):
     docs = fx.global_docs(spark, sf)
     images = docs.select(F.col("id").alias("image_id"), F.concat(F.lit("c"), (F.col("id") - F.col("id") % 2).cast("string")).alias("content"), "embedding", F.array(F.struct("class_id")).alias("detections"), F.array(F.lit("line"), F.lit(" ")).alias("texts"))
     return batch(images, images.limit(0))["counters"]
+
+
+def _images(docs: DataFrame) -> DataFrame:
+    content = F.concat(F.lit("c"), (F.col("id") - F.col("id") % 2).cast("string"))
+    return docs.select(F.col("id").alias("image_id"), content.alias("content"), "embedding", F.array(F.struct("class_id")).alias("detections"), F.array(F.lit("line"), F.lit(" ")).alias("texts"))
+
+
+@query("gdocs", "SELECT CASE WHEN id % 8 < 4 THEN 1 ELSE 2 END::BIGINT AS batch, id AS image_id FROM gdocs WHERE id % 2 = 0")
+def ingest_twice(spark, sf):
+    """Two batches in a row; the second repeats contents of the first, which the stored hashes tell."""
+    from pixelgrove.operators.ingest import batch
+
+    docs, c = fx.global_docs(spark, sf), _collection(spark, "global")
+    images = _images(docs)
+    c.write(batch(images.where("image_id % 8 < 4"), images.limit(0))["global"].withColumn("batch", F.lit(1)))
+    c.append(batch(images, c.read())["global"].withColumn("batch", F.lit(2)))
+    return c.read().select(F.col("batch").cast("long").alias("batch"), "image_id")
+
+
+@query("gdocs", """WITH one AS (SELECT id, class_id FROM gdocs WHERE id % 2 = 0)
+SELECT 'global' AS collection, id::VARCHAR AS id FROM one UNION ALL SELECT CASE WHEN class_id = 0 THEN 'people' ELSE 'vehicles' END, id || '_box_0' FROM one WHERE class_id IN (0, 2, 3, 5, 7, 8) UNION ALL SELECT 'ocr', id || '_ocr_0' FROM one UNION ALL SELECT 'faces', id || '_face_0' FROM one""")
+def ingest_images(spark, sf):
+    """The whole dataflow of images: gate, objects by route, faces, lines."""
+    from pixelgrove.operators.ingest import batch, collected
+
+    docs = fx.global_docs(spark, sf)
+    face = F.struct(F.lit(None).cast("array<double>").alias("box"), F.array(*[F.lit(float(i)) for i in range(10)]).alias("landmarks"), F.lit(0.9).alias("confidence"))
+    images = _images(docs).join(docs.select(F.col("id").alias("image_id"), F.array(face).alias("faces"), F.array("embedding").alias("face_embeddings")), "image_id")
+    return collected(batch(images, images.limit(0)))

@@ -319,3 +319,89 @@ def test_streaming_ingest_equals_one_batch_and_repeats_change_nothing(spark, tmp
     stream = windowed(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(events), "1 hour")
     stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == 120
+
+
+# ---- round trips and scale
+
+
+def test_ids_of_another_type(spark):
+    m, docs = vectors(spark)
+    named = docs.select(F.concat(F.lit("id"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("id"), "embedding")
+    asked = lambda df: df.limit(5).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    for most in (10, 0):
+        want = {(r.query_id, r.rank): r.id for r in se.top_k(docs, asked(docs.orderBy("id")), 4, most_broadcast=most, exclude_self=True).collect()}
+        got = {(int(r.query_id[2:]), r.rank): int(r.id[2:]) for r in se.top_k(named, asked(named.orderBy("id")), 4, most_broadcast=most, exclude_self=True).collect()}
+        assert got == want
+    cents = spark.createDataFrame([(0, [1.0] * 8), (1, [-1.0] * 8)], "cluster_id long, centroid array<double>")
+    assert {(r.id[2:], r.cluster_id) for r in cl.assign(named, cents).collect()} == {(f"{r.id:03d}", r.cluster_id) for r in cl.assign(docs, cents).collect()}
+    assert cl.probe(named, cents, 1).schema["query_id"].dataType.simpleString() == "string"
+    assert {(r.a[2:], r.b[2:]) for r in se.similar_pairs(named, 0.8).collect()} == {(f"{r.a:03d}", f"{r.b:03d}") for r in se.similar_pairs(docs, 0.8).collect()}
+
+
+def test_pairs_of_cells_like_numpy(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 12))
+    m = np.concatenate([base, base + 0.05 * r.normal(size=base.shape), np.repeat(base[:1], 150, 0), np.zeros((2, 12))])
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<double>")
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    cos = (m / np.where(n == 0, 1, n)) @ (m / np.where(n == 0, 1, n)).T
+    for threshold in (0.99, 0.7, 0.4):
+        want = {(int(i), int(j)) for i, j in np.argwhere(np.triu((1 + cos) / 2 >= threshold - 1e-12, 1))}
+        found = [(x.a, x.b) for x in se.similar_pairs(docs, threshold, block=20).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert se.similar_pairs(docs.limit(0), 0.9).count() == 0
+
+
+def test_pruned_search_reads_its_clusters_only(spark, tmp_path):
+    m, docs = vectors(spark, 200)
+    cents = docs.limit(8).select(F.col("id").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("centroid"))
+    c = Collection(spark, f"file://{tmp_path}", "global")
+    c.write(docs.join(cl.assign(docs, cents).select("id", "cluster_id"), "id"), ["cluster_id"])
+    asked = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    probed = cl.probe(asked, cents, 2, "query_id", "query_embedding")
+    found = se.pruned_top_k(c.read(), asked, probed, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cluster_id" in plan.replace("PartitionFilters: [isnotnull(cluster_id", "PartitionFilters: [cluster_id")
+    of = {r.id: r.cluster_id for r in cl.assign(docs, cents).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = {}
+    for r in probed.collect():
+        near.setdefault(r.query_id, set()).add(r.cluster_id)
+    got = {(r.query_id, r.rank): r.id for r in found.collect()}
+    for q, clusters in near.items():
+        ids = sorted((i for i in range(200) if of[i] in clusters), key=lambda i: (-unit[i] @ unit[q], i))[:5]
+        assert [got[q, k + 1] for k in range(5)] == ids
+    full = se.pruned_top_k(c.read(), asked, cl.probe(asked, cents, 8, "query_id", "query_embedding"), 5)
+    assert se.recall(full, se.top_k(docs, asked, 5)).first().recall == 1.0
+
+
+def test_collections_append_conflict_vacuum_and_drop(spark, tmp_path):
+    from pixelgrove.sources.store import ConcurrentWrite
+
+    a, b = (Collection(spark, f"file://{tmp_path}", "x") for _ in range(2))
+    a.write(spark.range(3))
+    start = a.version()
+    assert b.append(spark.range(3, 5)) == 2 and a.read().count() == 5
+    with pytest.raises(ConcurrentWrite):
+        a.write(spark.range(9), parent=start)
+    assert b.read().count() == 5 and a.write(spark.range(7)) == 3
+    assert a.vacuum(1) == 3 and a.read().count() == 7 and b.version() == 3
+    assert a.drop() and not b.exists() and not b.drop()
+
+
+def test_second_batch_finds_the_first(spark):
+    rows = [(i, f"c{i // 2}", [float(i)], [(2,)], ["t"]) for i in range(6)]
+    images = spark.createDataFrame(rows, IMAGES)
+    first = batch(images.where("image_id < 4"), images.limit(0))["global"]
+    assert {r.image_id for r in first.collect()} == {0, 2}
+    assert {r.image_id for r in batch(images, first)["global"].collect()} == {4}
+
+
+def test_quantiles_and_alerts(spark):
+    rows = spark.createDataFrame([("a", float(v % 7)) for v in range(50)] + [("b", 3.0), (None, 1.0), ("c", None)], "track string, latency_ms double")
+    want = {k: np.percentile(v, [50, 95, 99]).tolist() for k, v in (("a", [v % 7 for v in range(50)]), ("b", [3.0]), (None, [1.0]))}
+    found = {r.track: [r.p50, r.p95, r.p99] for r in ev.latency(rows, "latency_ms", "track").collect()}
+    assert found["c"] == [None] * 3 and all(np.allclose(found[k], v) for k, v in want.items())
+    timed = rows.where("track = 'a'").withColumn("ts", F.lit("2024-01-01 00:00:30").cast("timestamp"))
+    assert ev.latency_alerts(timed, "latency_ms", 5.5, "1 minute").count() == 1 and ev.latency_alerts(timed, "latency_ms", 6.0, "1 minute").count() == 0
+    assert dt.confident(spark.createDataFrame([(0.5,)], "score double"), 0.5, True).count() == 1

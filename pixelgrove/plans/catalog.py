@@ -78,11 +78,11 @@ def class_routes(spark, sf):
     return docs.select("id", "class_id", dt.route(F.col("class_id")).alias("route"), dt.class_name(F.col("class_id")).alias("class_name"))
 
 
-PAIR = "p AS (SELECT a.id AS qid, b.id AS id, b.class_id, list_inner_product(a.u, b.u) AS cos FROM gunit a CROSS JOIN gunit b WHERE a.id % 10 = 0)"
+PAIR = "p AS (SELECT a.id AS qid, b.id AS id, b.class_id, list_inner_product(a.u, b.u) AS cos FROM gunit a CROSS JOIN gunit b WHERE a.id % 50 = 0)"
 
 
 def _asked(spark, sf) -> DataFrame:
-    return fx.global_docs(spark, sf).where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return fx.global_docs(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
 
 
 @query("gunit", f"WITH {PAIR} SELECT qid AS query_id, id, round((1 + cos) / 2, 6) + 0.0 AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS r FROM p) WHERE r <= 5")
@@ -99,7 +99,7 @@ def knn_batch_blocks(spark, sf):
 
 
 @query("gunit", f"""WITH {PAIR}, m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS r FROM p), k AS (SELECT * FROM m WHERE r <= 5 AND (1 + cos) / 2 >= 0.6)
-SELECT q.id AS query_id, count(k.id) AS n_matches, arg_min(k.class_id, k.r) AS best_person_id, count(k.id) > 0 AS is_identified FROM (SELECT id FROM gunit WHERE id % 10 = 0) q LEFT JOIN k ON k.qid = q.id GROUP BY q.id""")
+SELECT q.id AS query_id, count(k.id) AS n_matches, arg_min(k.class_id, k.r) AS best_person_id, count(k.id) > 0 AS is_identified FROM (SELECT id FROM gunit WHERE id % 50 = 0) q LEFT JOIN k ON k.qid = q.id GROUP BY q.id""")
 def knn_batch_identify(spark, sf):
     return fc.identify(fx.faces(spark, sf), _asked(spark, sf), 5, 0.6)
 
@@ -198,9 +198,9 @@ def cluster_assign(spark, sf):
     return _assigned(spark, sf).select("id", "cluster_id", r6(F.col("cluster_distance")).alias("cluster_distance"))
 
 
-@query("cent", "SELECT query_id, cluster_id, round(ip, 6) + 0.0 AS similarity, rank FROM (SELECT g.id AS query_id, c.cluster_id, list_inner_product(g.u, c.c) AS ip, row_number() OVER (PARTITION BY g.id ORDER BY list_inner_product(g.u, c.c) DESC, c.cluster_id) AS rank FROM gunit g CROSS JOIN cent c WHERE g.id % 10 = 0) WHERE rank <= 3")
+@query("cent", "SELECT query_id, cluster_id, round(ip, 6) + 0.0 AS similarity, rank FROM (SELECT g.id AS query_id, c.cluster_id, list_inner_product(g.u, c.c) AS ip, row_number() OVER (PARTITION BY g.id ORDER BY list_inner_product(g.u, c.c) DESC, c.cluster_id) AS rank FROM gunit g CROSS JOIN cent c WHERE g.id % 50 = 0) WHERE rank <= 3")
 def cluster_probe(spark, sf):
-    found = cl.probe(fx.global_docs(spark, sf).where("id % 10 = 0"), fx.centroids0(spark, sf), 3)
+    found = cl.probe(fx.global_docs(spark, sf).where("id % 50 = 0"), fx.centroids0(spark, sf), 3)
     return found.select("query_id", "cluster_id", r6(F.col("similarity")).alias("similarity"), "rank")
 
 
@@ -349,28 +349,33 @@ def assign_unclustered(spark, sf):
     return patch(docs, found.select("id", "cluster_id"), "id", ["cluster_id"]).select("id", "cluster_id")
 
 
-@query("", "SELECT n, greatest(0, least(least(greatest(greatest(16, floor(sqrt(n))), floor(n / 10)), greatest(greatest(16, floor(sqrt(n))), 1024)), n))::BIGINT AS n_clusters, greatest(2, least(50, floor(n / 2)))::BIGINT AS n_script FROM (VALUES (5), (100), (400), (12000), (2000000), (5000000)) t(n)")
+@query("", "SELECT n, greatest(0, least(least(greatest(greatest(16, floor(sqrt(n))), floor(n / 10)), greatest(greatest(16, floor(sqrt(n))), 1024)), n))::BIGINT AS n_clusters, greatest(2, least(50, floor(n / 2)))::BIGINT AS n_script FROM (SELECT DISTINCT o_orderkey * o_orderkey AS n FROM orders)")
 def cluster_count(spark, sf):
-    rows = spark.createDataFrame([(n,) for n in (5, 100, 400, 12000, 2000000, 5000000)], "n int")
+    """Number of clusters for collections of many sizes."""
+    rows = fx.table(spark, sf, "orders").select((F.col("o_orderkey") * F.col("o_orderkey")).alias("n")).distinct()
     return rows.select("n", cl.auto_count(F.col("n"), 1024).cast("long").alias("n_clusters"), cl.script_count(F.col("n"), 50, 2).cast("long").alias("n_script"))
 
 
-STATES = "(1, TRUE, TRUE, TIMESTAMP '2024-01-01 00:00:00', FALSE), (2, TRUE, TRUE, TIMESTAMP '2024-01-01 11:00:00', FALSE), (3, TRUE, FALSE, NULL, FALSE), (4, TRUE, TRUE, NULL, FALSE), (5, FALSE, FALSE, NULL, TRUE), (6, TRUE, FALSE, TIMESTAMP '2024-01-01 11:59:00', TRUE)"
-STATE = f"t AS (SELECT * FROM (VALUES {STATES}) v(i, trained, needs_rebalance, last_rebalance, force)), a AS (SELECT i, CASE WHEN NOT trained THEN 'not_trained' WHEN NOT (force OR (needs_rebalance AND (last_rebalance IS NULL OR epoch(TIMESTAMP '2024-01-01 12:00:00') - epoch(last_rebalance) >= 6 * 3600))) THEN 'none' ELSE 'rebalanced' END AS action FROM t)"
+STATE = """t AS (SELECT vec_id AS i, vec_id % 7 <> 0 AS trained, vec_id % 3 <> 0 AS needs_rebalance, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE vec_id % 24 * 1800 END AS ago, vec_id % 11 = 0 AS force FROM embeddings),
+a AS (SELECT i, CASE WHEN NOT trained THEN 'not_trained' WHEN NOT (force OR (needs_rebalance AND (ago IS NULL OR ago >= 6 * 3600))) THEN 'none' ELSE 'rebalanced' END AS action FROM t)"""
 
 
-def _states(spark) -> DataFrame:
-    return cl.maintenance(spark.sql(f"SELECT * FROM VALUES {STATES} AS v(i, trained, needs_rebalance, last_rebalance, force)"), F.lit("2024-01-01 12:00:00").cast("timestamp"), cl.PATTERNS["medium_volume"][1])
+def _states(spark, sf) -> DataFrame:
+    """Collections in all states: trained or not, in need, rebalanced up to twelve hours ago or never, forced."""
+    i, now = F.col("vec_id"), F.lit(1_704_110_400)
+    last = F.when(i % 5 != 0, F.timestamp_seconds(now - i % 24 * 1800))
+    rows = fx.table(spark, sf, "embeddings").select(i.alias("i"), (i % 7 != 0).alias("trained"), (i % 3 != 0).alias("needs_rebalance"), last.alias("last_rebalance"), (i % 11 == 0).alias("force"))
+    return cl.maintenance(rows, F.timestamp_seconds(now), cl.PATTERNS["medium_volume"][1])
 
 
 @query("", f"WITH {STATE} SELECT i, action FROM a")
 def maintenance_action(spark, sf):
-    return _states(spark).select("i", "action")
+    return _states(spark, sf).select("i", "action")
 
 
 @query("", f"WITH {STATE} SELECT count(*) AS checked, count(*) FILTER (action = 'rebalanced') AS rebalanced, count(*) FILTER (action = 'not_trained') AS untrained FROM a")
 def maintenance_summary(spark, sf):
-    return _states(spark).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("action") == "rebalanced").alias("rebalanced"), F.count_if(F.col("action") == "not_trained").alias("untrained"))
+    return _states(spark, sf).agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("action") == "rebalanced").alias("rebalanced"), F.count_if(F.col("action") == "not_trained").alias("untrained"))
 
 
 # ---- duplicates ----------------------------------------------------------
@@ -502,16 +507,20 @@ def ocr_full_text(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", F.sha2(joined, 256).alias("full_sha"), ocr.shown(joined).alias("shown"))
 
 
-@query("", "SELECT i, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS ids FROM (VALUES (1, [2, 3]), (2, [7]), (3, []::INT[]), (4, [8, 5])) t(i, l)")
+@query("", "SELECT i, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS ids FROM (SELECT vec_id AS i, list_filter([ids[vec_id % 6 + 1], ids[vec_id % 5 + 1]], lambda x: x IS NOT NULL) AS l FROM (SELECT vec_id, [2, 7, NULL, 5, 8, 3] AS ids FROM embeddings))")
 def vehicle_types(spark, sf):
-    rows = spark.createDataFrame([(1, "car, motorcycle"), (2, "Truck,plane"), (3, "plane"), (4, "boat,bus")], "i int, s string")
+    """Lists of names in any case, with blanks and with unknown ones."""
+    names = F.array(*[F.lit(x) for x in ("car", "Truck", "plane", " bus ", "boat", "MOTORCYCLE")])
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), F.concat_ws(",", *[F.get(names, (F.col("vec_id") % n).cast("int")) for n in (6, 5)]).alias("s"))
     return rows.select("i", F.array_join(tx.named_classes(F.col("s"), {name: c for c, name in dt.NAMES.items() if c in dt.VEHICLES}), ",").alias("ids"))
 
 
-@query("", "SELECT i, ids FROM (VALUES (1, '2,3'), (2, '7'), (3, ''), (4, '0,12')) t(i, ids)")
+@query("", "SELECT vec_id AS i, CASE vec_id % 4 WHEN 0 THEN '' WHEN 1 THEN (vec_id % 90)::VARCHAR ELSE (vec_id % 90) || ',' || (vec_id % 7) END AS ids FROM embeddings")
 def class_filter_parse(spark, sf):
-    rows = spark.createDataFrame([(1, "2, 3"), (2, "7,x"), (3, ""), (4, " 0 ,12")], "i int, s string")
-    return rows.select("i", F.array_join(tx.class_list(F.col("s")), ",").alias("ids"))
+    """Lists of numbers with blanks, empty parts and parts that are no numbers."""
+    i = F.col("vec_id")
+    text = F.when(i % 4 == 0, F.lit(",x,")).when(i % 4 == 1, F.concat(F.lit(" "), i % 90, F.lit(" ,"))).otherwise(F.concat(i % 90, F.lit(", "), i % 7, F.lit(",1.5x")))
+    return fx.table(spark, sf, "embeddings").select(i.alias("i"), F.array_join(tx.class_list(text), ",").alias("ids"))
 
 
 @query("dims", "SELECT image_id, CASE WHEN w > 16384 OR height > 16384 THEN 'too_large' WHEN w < 16 OR height < 16 THEN 'too_small' WHEN b > 50 * 1024 * 1024 THEN 'too_heavy' END AS refused FROM (SELECT image_id, CASE WHEN image_id % 5 = 0 THEN width * 20 WHEN image_id % 5 = 1 THEN width % 20 ELSE width END AS w, height, (image_id % 7) * 10000000 AS b FROM dims)")
@@ -629,9 +638,9 @@ def landmark_unletterbox(spark, sf):
     return rows.select("image_id", r6(x).alias("x"), r6(y).alias("y"), F.round(F.get(near, F.lit(0)), 6).alias("nx"), F.round(F.get(near, F.lit(1)), 6).alias("ny"))
 
 
-@query("", "SELECT i, CASE WHEN i < 0 THEN NULL ELSE i END AS parent FROM (VALUES (-1), (0), (3)) t(i)")
+@query("", "SELECT vec_id AS face_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE vec_id % 5 - 1 END AS parent FROM embeddings")
 def face_parent(spark, sf):
-    return spark.createDataFrame([(-1,), (0,), (3,)], "i int").select("i", fc.parent(F.col("i")).alias("parent"))
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("face_id"), fc.parent(F.col("vec_id") % 5 - 1).alias("parent"))
 
 
 # ---- recognised text -----------------------------------------------------
@@ -687,19 +696,22 @@ def ocr_delete(spark, sf):
     return kept.select("ocr_id").crossJoin(F.broadcast(gone))
 
 
-@query("", "SELECT i, t AS text, round(c, 6) AS confidence FROM (VALUES (1, 'ab', 0.8), (2, 'aa', 0.75), (3, '', 0.0), (4, 'b ', 0.6)) v(i, t, c)")
+@query("", """WITH s AS (SELECT vec_id AS i, list_transform(range(8), lambda k: (vec_id // (3 ** k)::BIGINT + vec_id * k) % 5) AS d FROM embeddings),
+k AS (SELECT i, d, list_filter(range(1, 9), lambda j: d[j] NOT IN (0, 4) AND (j = 1 OR d[j] <> d[j - 1])) AS kept FROM s)
+SELECT i, array_to_string(list_transform(kept, lambda j: ['a', 'b', ' '][d[j]]), '') AS text, round(CASE WHEN len(kept) > 0 THEN list_sum(list_transform(kept, lambda j: (j * 7 + i) % 100 / 100.0::DOUBLE)) / len(kept) ELSE 0 END, 6) + 0.0 AS confidence FROM k""")
 def ctc_decode(spark, sf):
-    steps = [(1, [(1, 0.9), (1, 0.5), (0, 0.9), (2, 0.7)]), (2, [(1, 0.9), (0, 0.8), (1, 0.6)]), (3, [(0, 0.9), (0, 0.9)]), (4, [(9, 0.9), (2, 0.5), (3, 0.7)])]
-    rows = spark.createDataFrame([(i, [{"idx": a, "prob": p} for a, p in s]) for i, s in steps], "i int, steps array<struct<idx:int,prob:double>>")
-    rows = rows.withColumn("m", tx.ctc_decode(F.col("steps"), F.array(*[F.lit(c) for c in ("blank", "a", "b", " ")])))
-    return rows.select("i", F.col("m.text").alias("text"), F.round("m.confidence", 6).alias("confidence"))
+    """Eight steps a line over a blank, three signs and an index beyond the alphabet."""
+    i = F.col("vec_id")
+    steps = F.array(*[F.struct(((F.floor(i / 3**k) + i * k) % 5).cast("int").alias("idx"), (((k + 1) * 7 + i) % 100 / 100.0).alias("prob")) for k in range(8)])
+    rows = fx.table(spark, sf, "embeddings").select(i.alias("i"), tx.ctc_decode(steps, F.array(*[F.lit(c) for c in ("blank", "a", "b", " ")])).alias("m"))
+    return rows.select("i", F.col("m.text").alias("text"), r6(F.col("m.confidence")).alias("confidence"))
 
 
-@query("det", "SELECT image_id, det_id, round(x1, 6) AS tlx, round(x2, 6) AS trx, round(y2, 6) AS bry, round(x1, 6) AS nx1, trunc(sqrt((x2 * 100 - x1 * 100) * (x2 * 100 - x1 * 100)))::INT AS width, greatest(8, least(2048, ceil(48 * ((x2 - x1) / (y2 - y1)))))::INT AS rec_width FROM det WHERE det_id <= 2")
+@query("det", "SELECT image_id, det_id, round(x1, 6) AS tlx, round(x2, 6) AS trx, round(y2, 6) AS bry, round(x1, 6) AS nx1, trunc(sqrt((x2 * 100 - x1 * 100) * (x2 * 100 - x1 * 100)))::INT AS width, greatest(8, least(2048, ceil(48 * ((x2 - x1) / (y2 - y1)))))::INT AS rec_width FROM det")
 def quad_order(spark, sf):
     """Corners in any order are put in order; size of the crop and width for the recogniser."""
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    rows = fx.detections(spark, sf).where("det_id <= 2").withColumn("pts", F.array(p("x2", "y2"), p("x1", "y1"), p("x1", "y2"), p("x2", "y1")))
+    rows = fx.detections(spark, sf).withColumn("pts", F.array(p("x2", "y2"), p("x1", "y1"), p("x1", "y2"), p("x2", "y1")))
     rows = rows.withColumn("q", bx.order_quad(F.col("pts")))
     big = lambda c: F.struct((F.col(f"q.{c}.x") * 100).alias("x"), (F.col(f"q.{c}.y") * 100).alias("y"))
     rows = rows.withColumn("crop", bx.quad_crop(big("tl"), big("tr"), big("br"), big("bl")))
@@ -871,11 +883,15 @@ def track_ranking(spark, sf):
     return ev.ranked(_tracks(spark, sf)).select("track", "success_rate_pct", "rank")
 
 
-@query("", "SELECT clients, rps AS throughput_rps FROM (VALUES (64, 110.0::DOUBLE)) t(clients, rps)")
+@query("lat", """WITH r AS (SELECT track, floor(epoch(ts) / 3600)::BIGINT % 24 AS clients, count(*) / 60.0::DOUBLE AS rps FROM lat GROUP BY ALL),
+l AS (SELECT *, CASE WHEN rps < max(rps) OVER (PARTITION BY track ORDER BY clients ROWS UNBOUNDED PRECEDING) * 0.95 THEN 1 ELSE 0 END AS low FROM r),
+k AS (SELECT *, coalesce(sum(low) OVER (PARTITION BY track ORDER BY clients ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+SELECT track, arg_max(clients, (rps, -clients)) AS clients, round(max(rps), 6) AS throughput_rps FROM k WHERE before = 0 GROUP BY 1""")
 def best_concurrency(spark, sf):
-    """The last level is better but comes after the first clear fall."""
-    runs = spark.createDataFrame([(16, 90.0), (32, 108.0), (64, 110.0), (128, 100.0), (256, 200.0)], "clients int, throughput_rps double")
-    return ev.best_level(runs)
+    """The best level of each track before the first clear fall; the hours of the day stand for levels."""
+    level = (F.floor(F.unix_timestamp("ts") / 3600) % 24).alias("clients")
+    runs = fx.latencies(spark, sf).groupBy("track", level).agg((F.count(F.lit(1)) / 60.0).alias("throughput_rps"))
+    return ev.best_level(runs, "clients", "throughput_rps", 0.95, "track").withColumn("throughput_rps", F.round("throughput_rps", 6))
 
 
 @query("lat", "SELECT track, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(stddev_pop(latency_ms), 6) AS std, round(min(latency_ms), 6) AS min, round(max(latency_ms), 6) AS max FROM lat GROUP BY 1")

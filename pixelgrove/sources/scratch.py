@@ -23,9 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pixelgrove/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/pixelgrove/{name}-{uuid.uuid4().hex}"
+    """A new path below this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes all intermediate tables of this application; results that are not written yet can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return bool(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True))
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -405,3 +405,13 @@ def test_quantiles_and_alerts(spark):
     timed = rows.where("track = 'a'").withColumn("ts", F.lit("2024-01-01 00:00:30").cast("timestamp"))
     assert ev.latency_alerts(timed, "latency_ms", 5.5, "1 minute").count() == 1 and ev.latency_alerts(timed, "latency_ms", 6.0, "1 minute").count() == 0
     assert dt.confident(spark.createDataFrame([(0.5,)], "score double"), 0.5, True).count() == 1
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from pixelgrove.sources.scratch import clear, scratch_path, stage
+
+    assert stage(spark.range(3), "few").count() == 3
+    folder = scratch_path(spark, "x").rsplit("/", 1)[0]
+    assert clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)

@@ -87,16 +87,19 @@ def query_terms(spark: SparkSession, query: str, query_grams: bool = False) -> l
 
 
 def postings(lines: DataFrame, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, len): how often a line has each of its n-grams, in the order of terms.
+    """(term, id, tf, len): how often a line has each of its n-grams, each part in the order of terms.
 
-    Stored in this order, a search reads the few row groups of its terms.
+    Stored in this order, a search reads the few row groups of its terms; a
+    frequent term lies in all parts.
     """
     text = F.col(text_col)
-    words = lines.select(F.col(id_col).alias("id"), gram_count(text).alias("len"), F.explode(tokens(text)).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("c"), F.max("len").alias("len"))
+    # the length first, else it would be computed for each word
+    words = lines.select(F.col(id_col).alias("id"), gram_count(text).alias("len"), tokens(text).alias("words"))
+    words = words.select("id", "len", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("c"), F.max("len").alias("len"))
     # each distinct word is cut once
     cut = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("term")).groupBy("word", "term").agg(F.count(F.lit(1)).alias("m"))
     rows = words.join(cut, "word").groupBy("term", "id").agg(F.sum(F.col("c") * F.col("m")).alias("tf"), F.max("len").alias("len"))
-    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    return rows.sortWithinPartitions("term", "id")
 
 
 def index_totals(lines: DataFrame, text_col: str = "text") -> DataFrame:

@@ -94,6 +94,39 @@ def test_fit_fills_in_all_rows_and_keeps_those_without_vectors(spark):
     assert cl.centroid(cents, 3).count() == 1
 
 
+def test_more_centroids_than_are_held_at_once(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    m = np.concatenate([r.normal(size=(600, 8)), np.zeros((1, 8))])
+    docs = spark.createDataFrame([(i * 3, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<double>").repartition(5)
+    u = m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+    some = spark.createDataFrame([(100 - i, [float(x) for x in v]) for i, v in enumerate(m[:90])], "cluster_id long, centroid array<double>")
+    ip = u @ u[:90].T
+    plain = [{r.id: round(r.cluster_id) for r in cl.assign(docs, some).collect()}, sorted((r.cluster_id, *np.round(r.centroid, 9)) for r in cl.train(docs, 70, 2).collect())]
+    assert all(abs(ip[i // 3, 100 - c] - ip[i // 3].max()) < 1e-12 for i, c in plain[0].items()) and plain[0][1800] == 11
+    monkeypatch.setattr(cl, "MOST_CENTROIDS", 40)
+    monkeypatch.setattr(cl, "FEW", 8)  # slices of forty centroids, in cells
+    assert {r.id: r.cluster_id for r in cl.assign(docs, some).collect()} == plain[0]
+    assert np.allclose(sorted((r.cluster_id, *r.centroid) for r in cl.train(docs, 70, 2).collect()), plain[1], atol=1e-8)
+    rows = cl.fit(docs.where("id < 1800"), 16, 600, 0)[1].collect()
+    assert len(rows) == 600 and all(r.cluster_id == r.id // 3 and abs(r.cluster_distance) < 1e-9 for r in rows)
+    twice = docs.where("id < 300").unionByName(docs.where("id < 300").withColumn("id", F.col("id") + 3000))
+    rows = sorted(cl.fit(twice, 16, 200, 0)[1].collect())  # equal rows have a centroid each
+    assert [r.cluster_id for r in rows] == list(range(200))
+
+
+def test_cells_meet_all_that_may_be_nearer():
+    r = np.random.default_rng(9)
+    base = r.normal(size=(30, 16))
+    m = np.repeat(base, 100, 0) + 0.1 * r.normal(size=(3000, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = np.concatenate([m[::7], r.normal(size=(200, 16)), np.zeros((2, 16))])
+    v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
+    cells = cl._cells(np.arange(3000), m)
+    at, top = cl._nearest(v, cells, np.full(len(v), 1 << 62), np.full(len(v), -np.inf))
+    want = v @ m.T
+    assert len(cells.pivots) > 40 and np.allclose(top, want.max(1)) and np.allclose(want[np.arange(len(v)), at], want.max(1)) and (at[-2:] == 0).all()
+
+
 def test_balance_rules_are_strict_and_in_order(spark):
     def reason(sizes, new=0, old=100):
         z = spark.createDataFrame(list(enumerate(sizes)), "cluster_id int, n long")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pixelgrove.functions.texts import LEAST_GRAM, MOST_GRAM, grams, tokens
 
 #: Constants of the BM25 weights, and the weight of a phrase match.
 K1, B, PHRASE = 1.2, 0.75, 2.0
+#: Bytes of words in a segment of the text index; a longer line is a segment of its own.
+MOST_SIGNS = 1 << 22
 
 
 def fan_out(images: DataFrame, image: str = "image_id", texts: str = "texts") -> DataFrame:
@@ -86,39 +93,155 @@ def query_terms(spark: SparkSession, query: str, query_grams: bool = False) -> l
     return sorted(set(spark.range(1).select(asked.alias("t")).first().t))  # as many as the query has
 
 
-def postings(lines: DataFrame, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, len): how often a line has each of its n-grams, each part in the order of terms.
+def _numbers(values: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """Each run of values, from each start to the next, as bytes: seven bits a byte, the lowest first; the last has no high bit."""
+    size = np.ones(len(values), "i8")
+    for i in range(1, 5):
+        size += values >= 1 << 7 * i
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, "u1")
+    for i in range(5):
+        more = size > i
+        out[(ends - size)[more] + i] = (values[more] >> 7 * i & 127) | (size[more] > i + 1) * 128
+    offsets = np.concatenate([(ends - size)[starts], [len(out)]]).astype("i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _values(data: bytes) -> np.ndarray:
+    """The values that ``_numbers`` wrote."""
+    b = np.frombuffer(data, "u1").astype("i8")
+    starts = np.concatenate([[0], np.flatnonzero(b < 128) + 1])[:-1]
+    place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    return np.add.reduceat((b & 127) << 7 * place, starts)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each row, n of them."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+
+
+def _fits(length: np.ndarray) -> np.ndarray:
+    """Number of n-grams of words of these lengths."""
+    return sum(np.maximum(length - (n - 1), 0) for n in range(LEAST_GRAM, MOST_GRAM + 1))
+
+
+def _word_grams(words: pa.Array, length: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct n-grams in order, the number of each n-gram of each word, where each word's begin)."""
+    signs, code = np.unique(np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "u4"), return_inverse=True)
+    begins, first = np.cumsum(length) - length, np.cumsum(_fits(length)) - _fits(length)
+    held, done = np.zeros((int(_fits(length).sum()), MOST_GRAM), "u4"), first.copy()
+    for n in range(LEAST_GRAM, MOST_GRAM + 1):
+        here = np.maximum(length - (n - 1), 0)
+        at, of = _spread(done, here), _spread(begins, here)
+        for i in range(n):
+            held[at, i] = code[of + i] + 1
+        done += here
+    if len(signs) < 1 << 16:
+        key = np.zeros(len(held), "u8")
+        for i in range(MOST_GRAM):
+            key = key << np.uint64(16) | held[:, i].astype("u8")
+        _, one, number = np.unique(key, return_index=True, return_inverse=True)
+        distinct = held[one]
+    else:
+        distinct, number = np.unique(held, axis=0, return_inverse=True)
+    text = np.ascontiguousarray(np.concatenate([[0], signs]).astype("u4")[distinct]).view(f"<U{MOST_GRAM}").ravel()
+    return pa.array(text.tolist(), pa.string()), number.ravel(), first
+
 
-    Stored in this order, a search reads the few row groups of its terms; a
-    frequent term lies in all parts.
+def postings(lines: DataFrame, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
+    """(segment, term, n, lines, tfs, ids, lens): which lines have an n-gram, and how often; each part in the order of terms.
+
+    A segment is some thousand lines that lie together, so nothing is shuffled.
+    Its row with an empty term has their ids and lengths in n-grams, each other
+    one a term: the number of lines with it, their places in the segment, as
+    steps from one to the next, and the term's frequency in each, as
+    ``_numbers``. Stored in this order, a search reads the few pages of its
+    terms; a frequent term lies in all parts.
     """
-    text = F.col(text_col)
-    # the length first, else it would be computed for each word
-    words = lines.select(F.col(id_col).alias("id"), gram_count(text).alias("len"), tokens(text).alias("words"))
-    words = words.select("id", "len", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("c"), F.max("len").alias("len"))
-    # each distinct word is cut once
-    cut = words.select("word").distinct().select("word", F.explode(grams(F.col("word"))).alias("term")).groupBy("word", "term").agg(F.count(F.lit(1)).alias("m"))
-    rows = words.join(cut, "word").groupBy("term", "id").agg(F.sum(F.col("c") * F.col("m")).alias("tf"), F.max("len").alias("len"))
-    return rows.sortWithinPartitions("term", "id")
+    kind, most = lines.select(id_col).schema[0].dataType.simpleString(), MOST_SIGNS
+
+    def piece(segment: int, ids: pa.Array, words: pa.Array) -> Iterator[pa.RecordBatch]:
+        count = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
+        held = words.flatten().dictionary_encode()
+        code, length = held.indices.to_numpy().astype("i8"), pc.utf8_length(held.dictionary).to_numpy().astype("i8")
+        line, fits = np.repeat(np.arange(len(count)), count), _fits(length)
+        lens = np.bincount(line, fits[code], len(count)).astype("i8")
+        names = ["segment", "term", "n", "lines", "tfs", "ids", "lens"]
+        listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        total = listed(pa.array(lens, mask=words.is_null().to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([""]), pa.array([len(ids)]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), listed(ids), total], names)
+        if not fits.sum():
+            return
+        terms, number, first = _word_grams(held.dictionary, length)
+        # one value for each n-gram of each word: equal ones follow each other when sorted
+        bits = int(len(count)).bit_length()
+        key = number[_spread(first[code], fits[code])] << bits | np.repeat(line, fits[code])
+        key.sort()
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf, key = np.diff(np.append(begin, len(key))), key[begin]
+        term, place = key >> bits, key & (1 << bits) - 1
+        starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        step = np.diff(place, prepend=0)
+        step[starts] = place[starts]
+        n, nulls = len(starts), lambda a: pa.nulls(len(starts), a.type)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, segment)), terms.take(pa.array(term[starts])), pa.array(np.diff(np.append(starts, len(term)))), _numbers(step, starts), _numbers(tf, starts), nulls(listed(ids)), nulls(total)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            # about as many signs of text, in whole lines
+            size = np.cumsum(pc.binary_length(batch.column("words").flatten()).to_numpy(zero_copy_only=False).astype("i8"))
+            ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            chunk = np.concatenate([[0], size])[ends] // most
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    yield from piece(segment, batch.column("id").slice(i, j - i), batch.column("words").slice(i, j - i))
+                    segment += 1
+
+    # words without n-grams are left behind
+    words = F.filter(tokens(F.col(text_col)), lambda t: F.length(t) >= LEAST_GRAM)
+    rows = lines.select(F.col(id_col).alias("id"), words.alias("words"))
+    return rows.mapInArrow(run, f"segment long, term string, n long, lines binary, tfs binary, ids array<{kind}>, lens array<long>").sortWithinPartitions("term", "segment")
+
+
+def index_totals(index: DataFrame) -> DataFrame:
+    """One row that goes with the postings: docs and mean, the number of lines and their mean length in n-grams."""
+    lens = F.filter("lens", lambda v: v.isNotNull())
+    total = F.aggregate(lens, F.lit(0).cast("long"), lambda s, v: s + v)
+    return index.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), (F.sum(total) / F.sum(F.size(lens))).alias("mean"))
 
 
-def index_totals(lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row that goes with the postings: docs and mean, the number of lines and their mean length in n-grams."""
-    return lines.agg(F.count(F.lit(1)).alias("docs"), F.avg(gram_count(F.col(text_col))).alias("mean"))
+def _hits(index: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, term, tf, len) of the lines with the terms."""
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        names, out = ["id", "term", "tf", "len"], []
+        rows = group.column("term").to_pylist()
+        head = rows.index("")
+        ids, lens = group.column("ids")[head].values, group.column("lens")[head].values
+        for i, term in enumerate(rows):
+            if i != head:
+                place, tf = pa.array(np.cumsum(_values(group.column("lines")[i].as_py()))), _values(group.column("tfs")[i].as_py())
+                out.append(pa.table([ids.take(place), pa.array([term] * len(tf)), pa.array(tf), lens.take(place)], names))
+        return pa.concat_tables(out) if out else pa.table([ids[:0], pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.int64())], names)
+
+    held = index.where(F.col("term").isin(["", *terms]))
+    return held.groupBy("segment").applyInArrow(run, f"id {kind}, term string, tf long, len long")
 
 
 def search_index(index: DataFrame, totals: DataFrame, lines: DataFrame, query: str, k: int = 10, min_score: float = 0.0, query_grams: bool = False, id_col: str = "ocr_id", text_col: str = "text") -> DataFrame:
-    """The result of ``search`` from stored postings; of ``lines`` only those with all terms are read, for the phrase."""
+    """The result of ``search`` from stored postings; of ``lines`` only the ids of those with the phrase go on."""
     terms, total = query_terms(lines.sparkSession, query, query_grams), totals.first()
     if not terms:
         return lines.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
-    hits = index.where(F.col("term").isin(terms))
-    known = {r.term: r.n for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = {r.term: r.n for r in index.where(F.col("term").isin(terms)).groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(log(1 + (total.docs - known.get(t, 0) + 0.5) / (known.get(t, 0) + 0.5))))])
     weight = F.element_at(idf, F.col("term")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (total.mean or 1.0)))
-    scored = hits.groupBy("id").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n"))
-    # a line with the phrase has all its terms
-    phrase = scored.where(F.col("n") == len(terms)).select("id").join(lines.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id").where(F.contains(F.lower("t"), F.lit(query.lower()))).select("id", F.lit(1 + PHRASE).alias("more"))
+    scored = _hits(index, terms).groupBy("id").agg(F.sum(weight).alias("score"))
+    phrase = lines.where(F.contains(F.lower(F.col(text_col)), F.lit(query.lower()))).select(F.col(id_col).alias("id"), F.lit(1 + PHRASE).alias("more"))
     out = scored.join(phrase, "id", "left").select("id", (F.col("score") * F.coalesce("more", F.lit(1.0))).alias("score")).where((F.col("score") > 0) & (F.col("score") >= min_score))
     return _best(out, k)
 

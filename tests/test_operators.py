@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,33 @@ def test_text_search_of_nothing(spark):
     assert ocr.search(lines, "zzz").count() == 0 and ocr.search(lines.limit(0), "hel").count() == 0 and ocr.search(lines, "").count() == 0
 
 
+def test_postings_hold_every_gram(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abÄßж中𝒳9") for _ in range(r.choice([1, 2, 3, 5, 9, 40])))
+    texts = [" ".join(word() for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(80)] + ["the MIT", "The mit, the MITten", "-- !", "", None, "ab " * 500]
+    lines = spark.createDataFrame([(f"l{i}", t) for i, t in enumerate(texts)], "ocr_id string, text string").repartition(3)
+    cut = lines.select("ocr_id", F.explode(tx.tokens(F.col("text"))).alias("w")).select("ocr_id", F.explode(tx.grams(F.col("w"))).alias("g"))
+    want = sorted((x.ocr_id, x.g, x["count"]) for x in cut.groupBy("ocr_id", "g").count().collect())
+    for most in (1 << 22, 400):
+        monkeypatch.setattr(ocr, "MOST_SIGNS", most)
+        index = ocr.postings(lines).cache()
+        assert ocr.postings(lines)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the rows above
+        terms = sorted({g for _, g, _ in want})
+        assert sorted((x.id, x.term, x.tf) for x in ocr._hits(index, terms).collect()) == want
+        total = ocr.index_totals(index).first()
+        assert total.docs == len(texts) and abs(total.mean - lines.agg(F.avg(ocr.gram_count(F.col("text")))).first()[0]) < 1e-9
+        for query, parts in (("the MIT", False), ("zzz", False)) if most == 400 else (("aba", True),):
+            found = [(x.id, round(x.score, 9), x["rank"]) for x in ocr.search_index(index, ocr.index_totals(index), lines, query, 20, query_grams=parts).collect()]
+            assert found == [(x.id, round(x.score, 9), x["rank"]) for x in ocr.search(lines, query, 20, query_grams=parts).collect()]
+    empty = ocr.postings(lines.limit(0))
+    assert ocr.search_index(empty, ocr.index_totals(empty), lines.limit(0), "the").count() == 0
+    n = np.array([0, 127, 128, 16383, 16384, 1 << 21, (1 << 30) + 5, 7])
+    coded = ocr._numbers(n, np.array([0, 3, 7]))
+    assert [ocr._values(x.as_py()).tolist() for x in coded] == [n[:3].tolist(), n[3:7].tolist(), [7]]
+    found, number, first = ocr._word_grams(pa.array(["".join(map(chr, range(0x4E00, 0x9FA0))) + "".join(map(chr, [*range(0xAC00, 0xD7A0), *range(0x20000, 0x2A6D0)])), "abc"]), np.array([0x9FA0 - 0x4E00 + 0xD7A0 - 0xAC00 + 0x2A6D0 - 0x20000, 3]))
+    assert [found[int(x)].as_py() for x in number[first[1] :]] == ["ab", "bc", "abc"] and len(found) == len(number)
+
+
 # ---- faces and evaluation
 
 
